@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import rules, tiff
+from . import bpe, chat, html, rules, tiff
 from .common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, sf_dir: rules.quality_rules(table(spark, sf_dir, "documents")),
+    "op4_bpe": lambda spark, sf_dir: bpe.bpe_digest(table(spark, sf_dir, "documents")),
+    "op5_html_extraction": lambda spark, sf_dir: html.extract_pages(table(spark, sf_dir, "pages")),
+    "op8_chat_formatting": lambda spark, sf_dir: chat.chat_formatting(table(spark, sf_dir, "conversations")),
     "op10_media_tiff": lambda spark, sf_dir: tiff.media_digest(table(spark, sf_dir, "documents")),
 }
-SQL = {"op1_quality_rules": rules.SQL}
+SQL = {"op1_quality_rules": rules.SQL, "op8_chat_formatting": chat.SQL}
