@@ -191,13 +191,14 @@ def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
 def encode_ids(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """All columns of ``df`` and the token ids of ``text`` (null and empty: none); a column of that name is replaced."""
     source = df.drop(ids)
-    at = source.columns.index(text)
+    columns = source.columns
+    at = columns.index(text)
 
     def run(batches):
         bpe = loaded(path)
         for part in chunks(batches, 2 << 20):
             rows = pa.array([bpe.encode(t) for t in strings(part.column(at))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, rows], [*source.columns, ids])
+            yield pa.RecordBatch.from_arrays([*part.columns, rows], [*columns, ids])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return source.mapInArrow(run, f"{schema}, `{ids}` array<int>")
@@ -206,13 +207,14 @@ def encode_ids(df: DataFrame, path: str, text: str = "text", ids: str = "token_i
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the text of ``ids`` (null and empty: empty); a column of that name is replaced."""
     source = df.drop(text)
-    at = source.columns.index(ids)
+    columns = source.columns
+    at = columns.index(ids)
 
     def run(batches):
         bpe = loaded(path)
         for part in chunks(batches, 2 << 20):
             rows = pa.array([bpe.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns, rows], [*source.columns, text])
+            yield pa.RecordBatch.from_arrays([*part.columns, rows], [*columns, text])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return source.mapInArrow(run, f"{schema}, `{text}` string")
