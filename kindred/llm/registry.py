@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, rules, subword, tiff
+from . import bpe, chat, html, rules, simhash, subword, tiff
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_toxicity": lambda spark, sf_dir: subword.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_bpe": lambda spark, sf_dir: bpe.bpe_digest(table(spark, sf_dir, "documents")),
     "op5_html_extraction": lambda spark, sf_dir: html.extract_pages(table(spark, sf_dir, "pages")),
+    "op6_simhash": lambda spark, sf_dir: simhash.near_duplicates(table(spark, sf_dir, "documents")),
     "op7_quality_classifier": lambda spark, sf_dir: subword.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_chat_formatting": lambda spark, sf_dir: chat.chat_formatting(table(spark, sf_dir, "conversations")),
     "op10_media_tiff": lambda spark, sf_dir: tiff.media_digest(table(spark, sf_dir, "documents")),
