@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, rules, simhash, subword, tiff
+from . import bpe, chat, html, rules, simhash, subword, suffix, tiff
 from .common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": lambda spark, sf_dir: simhash.near_duplicates(table(spark, sf_dir, "documents")),
     "op7_quality_classifier": lambda spark, sf_dir: subword.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_chat_formatting": lambda spark, sf_dir: chat.chat_formatting(table(spark, sf_dir, "conversations")),
+    "op9_suffix_dedup": lambda spark, sf_dir: suffix.suffix_digest(table(spark, sf_dir, "documents")),
     "op10_media_tiff": lambda spark, sf_dir: tiff.media_digest(table(spark, sf_dir, "documents")),
 }
 SQL = {"op1_quality_rules": rules.SQL, "op8_chat_formatting": chat.SQL}
