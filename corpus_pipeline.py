@@ -1,8 +1,79 @@
-"""The corpus pipeline (stages are added as their operators arrive)."""
+"""From raw documents to batches: toxicity, quality, near-duplicates, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+import kindred
+from kindred.llm import packing, simhash, subword, suffix
+from kindred.llm.common import checkpoint_folder, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go (score of 0.3 or more)."""
+    kindred.ship(spark)
+    scored = subword.toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("score") < 0.3).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go (score below 0.5)."""
+    kindred.ship(spark)
+    scored = subword.quality.learned(docs, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("score") >= 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays; of rows that are equal, one."""
+    kindred.ship(spark)
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    return kept.withColumn("copy_number", F.row_number().over(same)).filter("copy_number = 1").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that start in two places go, in whole characters; every document stays."""
+    kindred.ship(spark)
+    rest = suffix.suffix_dedup(docs, whole_characters=True)
+    text = F.col("kept").cast("string")
+    changed = F.col("n_removed") > 0
+    fresh = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rest.withColumns(fresh).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's length bucket, batch and slot."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality_classifier", quality),
+    ("simhash", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("packing", packed),
+]
+#: The classifiers and the suffix sort are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each result is written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        at = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs

@@ -19,10 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_bytes(array: pa.Array) -> int:
-    return array.nbytes
-
-
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes, so that long texts do not add up."""
     for batch in batches:
@@ -47,14 +43,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder; lineage ends here and no executor owns them.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kindred-checkpoints")
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where that is unset.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written to the shared checkpoint folder; lineage ends here and no executor owns them."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kindred-checkpoints")
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)

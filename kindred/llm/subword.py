@@ -7,6 +7,7 @@ spellings that were seen. Averages and softmax are linear up to the last step, s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -253,7 +254,7 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, config: Config,
     body = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sizes = body.join(pick(chosen), "key", "left_semi").groupBy("key").agg(F.max(F.octet_length("text")).alias("size")).collect()
     taken, room = [], config.sample_bytes
-    rank = {k: i for i, k in enumerate(sorted(chosen, key=lambda k: hash((config.seed, k))))}
+    rank = {k: i for i, k in enumerate(sorted(chosen, key=lambda k: (zlib.crc32(f'{config.seed}:{k}'.encode()), str(k))))}
     for r in sorted(sizes, key=lambda r: rank[r["key"]]):
         if r["size"] <= room:
             taken.append(r["key"])
@@ -294,14 +295,18 @@ def classifier(label: str, fold: int, modulus: int, threshold: float, config: Co
         return F.crc32(column.cast("string").cast("binary")) % modulus == fold
 
     def run(documents: DataFrame, labels: DataFrame) -> DataFrame:
-        texts, y, share = sample(documents, labels, label, config, "doc_id", "text", ~held_out(F.col("doc_id")))
-        model = fit(texts, y, share, config)
-        scored = score(documents.select("doc_id", "text"), model)
+        scored = learned(documents.select("doc_id", "text"), labels)
         return scored.select(
             "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
             (F.col("score") >= threshold).cast("int").alias("predicted"),
         )
 
+    def learned(documents: DataFrame, labels: DataFrame) -> DataFrame:
+        """All columns of ``documents`` and ``score``."""
+        texts, y, share = sample(documents, labels, label, config, "doc_id", "text", ~held_out(F.col("doc_id")))
+        return score(documents, fit(texts, y, share, config))
+
+    run.learned = learned
     return run
 
 
