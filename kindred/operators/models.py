@@ -137,10 +137,10 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], folds: Sequence[int],
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    made = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="keep").transform(rows)
+    made = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(rows)
     parts = []
     for held in folds:
-        model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=iterations, maxDepth=4, seed=seed).fit(fit_rows(made, [f for f in folds if f != held]))
+        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=4, seed=seed).fit(fit_rows(made, [f for f in folds if f != held]))
         scored = model.transform(made.filter(F.col("fold") == held))
         parts.append(scored.select("source1_entity_id", "target_id", "fold", "label", vector_to_array("probability")[1].alias("p")))
     return reduce(DataFrame.unionByName, parts)
@@ -153,10 +153,10 @@ def platt(rows: DataFrame, p: str = "p", y: str = "label") -> Callable[[DataFram
     from pyspark.ml.functions import vector_to_array
 
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    assemble = VectorAssembler(inputCols=["logit"], outputCol="x")
-    prepare = lambda df: assemble.transform(df.withColumn("logit", F.log(clipped / (1 - clipped))))
-    model = LogisticRegression(featuresCol="x", labelCol=y).fit(prepare(rows))
-    return lambda df: model.transform(prepare(df)).withColumn("calibrated", vector_to_array("probability")[1]).drop("x", "logit", "rawPrediction", "probability", "prediction")
+    assemble = VectorAssembler(inputCols=["_logit"], outputCol="_logits")
+    prepare = lambda df: assemble.transform(df.withColumn("_logit", F.log(clipped / (1 - clipped))))
+    model = LogisticRegression(featuresCol="_logits", labelCol=y).fit(prepare(rows))
+    return lambda df: model.transform(prepare(df)).withColumn("calibrated", vector_to_array("probability")[1]).drop("_logits", "_logit", "rawPrediction", "probability", "prediction")
 
 
 def mined_phrases(pairs: DataFrame, source: str, target: str, entity: str, support: int = 10, entities: int = 8, share: float = 0.9) -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from kindred.sources.roles import normalized
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Event time as a timestamp, with a watermark if the frame is a stream."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(window_start, event_type, n, total, users) in tumbling or sliding windows of event time."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     users = F.approx_count_distinct("user_id") if events.isStreaming else F.countDistinct("user_id")
     return marked.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), users.alias("users")).select(
@@ -23,7 +28,7 @@ def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, session_start, session_end, n) by gaps of inactivity."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     rows = marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 

@@ -69,7 +69,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query = E.windowed(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     query.awaitTermination(120)
     streamed = {(r.window_start, r.event_type): r.n for r in spark.sql("SELECT * FROM w").collect()}
-    assert streamed == {(r.window_start, r.event_type): r.n for r in E.windowed(events).collect()}
+    assert streamed == {(r.window_start, r.event_type): r.n for r in E.windowed(events).collect()} != {}
 
 
 def test_views_are_maintained_by_batch(spark, tmp_path):
