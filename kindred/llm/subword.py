@@ -23,7 +23,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Config:
-    """``passage`` words are averaged at a time, 0 for the whole text; a text has the score of its highest passage.
+    """``passage`` words are averaged at a time, 0 for the whole text.
 
     ``rows`` labelled rows of each class and ``sample_bytes`` of their texts in all bound the training sample.
     """
@@ -112,10 +112,10 @@ def train(spans: list[list[str]], labels: np.ndarray, weights: np.ndarray, confi
     vectors, soft, bias, seen, soft_seen = state
     order = rng.permutation(len(spans))
     batches = [order[i : i + config.batch] for i in range(0, len(order), config.batch)]
-    made = [Batch([spans[i] for i in b], config) for b in batches]
     for epoch in range(epochs):
         for k in rng.permutation(len(batches)):
-            b, x = batches[k], made[k]
+            b = batches[k]
+            x = Batch([spans[i] for i in b], config)  # made anew each time: kept ones would fill the driver
             rows = vectors[x.used]
             typed = np.add.reduceat(rows[x.grams], x.type_starts) / x.type_sizes[:, None]
             mean = np.add.reduceat(typed[x.words], x.starts) / x.sizes[:, None]
@@ -139,16 +139,17 @@ def train(spans: list[list[str]], labels: np.ndarray, weights: np.ndarray, confi
 
 @dataclass
 class Model:
-    """One number per bucket, a bias, and the calibration of a text's score."""
+    """One number per bucket, a bias, and a logistic calibration of what the passages of a text score."""
 
     config: Config
     table: np.ndarray
     bias: float
-    slope: float = 1.0
+    weights: np.ndarray
     offset: float = 0.0
 
     def raw(self, texts: list[str]) -> np.ndarray:
-        """The log odds of each text's highest passage; the bias alone if it has no words."""
+        """A row per text: log odds of the highest passage and, if texts have several, the mean of the three highest, the mean
+        of all, the share of passages over zero and the logarithm of their number. The bias alone for a text without words."""
         types: dict[str, int] = {}
         flat: list[int] = []
         bounds, counts = [], []
@@ -158,7 +159,7 @@ class Model:
             bounds += [(len(flat) + a, len(flat) + b) for a, b in spans]
             counts.append(len(spans))
             flat += [types.setdefault(w, len(types)) for w in words]
-        out = np.full(len(texts), self.bias)
+        scores = np.empty(0)
         if flat:
             buckets, starts = word_buckets(list(types), self.config)
             sizes = np.diff(np.r_[starts, len(buckets)])
@@ -166,36 +167,43 @@ class Model:
             total = np.r_[0.0, np.cumsum(by_type[np.array(flat, np.int64)])]
             edges = np.array(bounds, np.int64)
             scores = self.bias + (total[edges[:, 1]] - total[edges[:, 0]]) / (edges[:, 1] - edges[:, 0])
-            counts = np.array(counts)
-            some = counts > 0
-            out[some] = np.maximum.reduceat(scores, (np.cumsum(counts) - counts)[some])
+        each = np.split(scores, np.cumsum(counts)[:-1]) if texts else []
+        if not self.config.passage:
+            return np.array([[s[0] if len(s) else self.bias] for s in each]).reshape(-1, 1)
+        out = np.tile([self.bias, self.bias, self.bias, 0.0, 0.0], (len(texts), 1))
+        for i, s in enumerate(each):
+            if len(s):
+                top = np.sort(np.partition(s, -3)[-3:] if len(s) > 3 else s)
+                over = (s > 0).sum()
+                out[i] = top[-1], top.mean(), s.mean(), over / len(s), np.log1p(over)
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = np.clip(self.slope * self.raw(texts) + self.offset, -40, 40)
+        z = np.clip(self.raw(texts) @ self.weights + self.offset, -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
 def _model(state, config: Config) -> Model:
     vectors, soft, bias, *_ = state
-    return Model(config, (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    n = 5 if config.passage else 1
+    return Model(config, (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), np.eye(n)[0])
 
 
 def _calibrate(model: Model, raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-    """A logistic fit of label on score with smoothed targets, by Newton steps."""
+    """A logistic fit of label on scores with smoothed targets and a light ridge, by Newton steps."""
     n1, n0 = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(1e-9, raw.std())
-    centre = raw.mean()
-    x = np.stack([(raw - centre) / scale, np.ones(len(raw))], 1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
+    centre, scale = raw.mean(axis=0), np.maximum(raw.std(axis=0), 1e-9)
+    x = np.column_stack([(raw - centre) / scale, np.ones(len(raw))])
+    ridge = np.diag([0.3] * raw.shape[1] + [1e-3])
+    beta = np.zeros(x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (weights * (p - target)) + 1e-3 * beta
-        h = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weights * (p - target)) + ridge @ beta
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + ridge
         beta = beta - np.clip(np.linalg.solve(h, g), -2, 2)
-    beta[0] = max(beta[0], 1e-3)
-    model.slope, model.offset = float(beta[0] / scale), float(beta[1] - beta[0] * centre / scale)
+    model.weights = beta[:-1] / scale
+    model.offset = float(beta[-1] - (beta[:-1] * centre / scale).sum())
 
 
 def fit(texts: list[str], labels: list[int], share: dict[int, float], config: Config) -> Model:
@@ -203,14 +211,15 @@ def fit(texts: list[str], labels: list[int], share: dict[int, float], config: Co
     y = np.array(labels, np.int64)
     if not len(y) or len(set(labels)) < 2:
         rate = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
-        return Model(config, np.zeros(config.buckets), float(np.log(rate / (1 - rate))))
+        return Model(config, np.zeros(config.buckets), float(np.log(rate / (1 - rate))), np.eye(5 if config.passage else 1)[0])
     rng = np.random.default_rng(config.seed)
     aside = rng.random(len(y)) < config.calibrate
     if min((y[aside] == c).sum() for c in (0, 1)) < 10:
         aside[:] = False
     spans, owner = [], []
+    pool: dict[str, str] = {}
     for i in np.flatnonzero(~aside):
-        words = tokens(texts[i], config)
+        words = [pool.setdefault(w, w) for w in tokens(texts[i], config)]
         for a, b in passages(len(words), config.passage, config.passage):
             spans.append(words[a:b])
             owner.append(i)
@@ -220,10 +229,12 @@ def fit(texts: list[str], labels: list[int], share: dict[int, float], config: Co
     state = train(spans, label, balance(label), config, config.epochs)
     if config.passage:  # only the passages that show it keep their text's label; the others count as clean
         for _ in range(2):
-            x = Batch(spans, config)
             table = state[0] @ (state[1][:, 1] - state[1][:, 0])
-            typed = np.add.reduceat(table[x.used][x.grams], x.type_starts) / x.type_sizes
-            raw = np.add.reduceat(typed[x.words], x.starts) / x.sizes + state[2][1] - state[2][0]
+            raw = np.empty(len(spans))
+            for a in range(0, len(spans), 4096):
+                x = Batch(spans[a : a + 4096], config)
+                typed = np.add.reduceat(table[x.used][x.grams], x.type_starts) / x.type_sizes
+                raw[a : a + 4096] = np.add.reduceat(typed[x.words], x.starts) / x.sizes + state[2][1] - state[2][0]
             top = np.full(len(y), -np.inf)
             np.maximum.at(top, owner, raw)
             label = ((y[owner] == 1) & ((raw > 0) | (raw >= top[owner]))).astype(np.int64)
@@ -231,7 +242,7 @@ def fit(texts: list[str], labels: list[int], share: dict[int, float], config: Co
     model = _model(state, config)
     held = aside if aside.any() else np.ones(len(y), bool)
     weights = np.array([share[c] for c in y[held].tolist()])
-    _calibrate(model, model.raw([texts[i] for i in np.flatnonzero(held)]), y[held], weights / weights.mean())
+    _calibrate(model, np.concatenate([model.raw([texts[i]]) for i in np.flatnonzero(held)]), y[held], weights / weights.mean())
     return model
 
 
