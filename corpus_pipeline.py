@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 import kindred
-from kindred.llm import packing, simhash, subword, suffix
+from kindred.llm import overlap, packing, subword, suffix
 from kindred.llm.common import checkpoint_folder, table
 
 
@@ -31,9 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; of rows that are equal, one."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles the document with the least id stays; of rows that are equal, one."""
     kindred.ship(spark)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = overlap.near_duplicates(docs.select("doc_id", "text"))
     heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
     kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
