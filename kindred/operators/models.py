@@ -48,7 +48,7 @@ def transliterated(text: Column, spellings: DataFrame, rows: DataFrame, name: st
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """(source1_entity_id, target_id, 42 floats) of pairs with columns sn, sa, tn, ta, sc, tc.
+    """(source1_entity_id, target_id, 40 floats) of pairs with columns sn, sa, tn, ta, sc, tc.
 
     Text features of names and addresses, their product, numbers, missing addresses, country and source. Distinct
     texts are compared once in an Arrow batch.
