@@ -1,6 +1,7 @@
 """Windowed counts over event streams and incremental maintenance of normalised records.
 
-The functions take static or streaming frames alike; the watermark only matters for streams.
+The functions take static or streaming frames alike; the watermark only matters for streams, whose
+distinct counts are estimates under a name of their own.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ def _marked(events: DataFrame, late: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """(window_start, event_type, n, total, users) in tumbling or sliding windows of event time."""
+    """(window_start, event_type, n, total, users) in tumbling or sliding windows of event time.
+
+    ``users`` is an exact count of distinct users. A stream cannot have one here; it has the estimate ``approx_users`` instead.
+    """
     marked = _marked(events, late)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    users = F.approx_count_distinct("user_id") if events.isStreaming else F.countDistinct("user_id")
-    return marked.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), users.alias("users")).select(
-        F.col("w.start").alias("window_start"), "event_type", "n", "total", "users"
+    users, name = (F.approx_count_distinct("user_id"), "approx_users") if events.isStreaming else (F.countDistinct("user_id"), "users")
+    return marked.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), users.alias(name)).select(
+        F.col("w.start").alias("window_start"), "event_type", "n", "total", name
     )
 
 
