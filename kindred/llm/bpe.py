@@ -40,10 +40,49 @@ def newer_characters() -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, ends, strict=True))
 
 
+#: Separators of Python's ``split`` that are no white space in the file's pattern.
+CONTROLS = regex.compile("[\x1c-\x1f]")
+#: Strings longer than this are not remembered.
+LONG = 100
+
+
+class Memory:
+    """What was computed for the strings of late: a young and an old generation of at most ``limit`` strings each."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def of(self, wanted: set[str], make) -> dict[str, bytes]:
+        """A table with all of ``wanted``; ``make`` turns a list of strings that are not known into their values."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        missing = wanted.difference(self.young)
+        again = missing.intersection(self.old)
+        self.young.update({x: self.old[x] for x in again})
+        fresh = list(missing - again)
+        if not fresh:
+            return self.young
+        made = dict(zip(fresh, make(fresh), strict=True))
+        long_ = [x for x in fresh if len(x) > LONG]
+        if not long_ and len(self.young) + len(made) <= 2 * self.limit:
+            self.young.update(made)
+            return self.young
+        table = self.young | made
+        for x in long_:
+            del made[x]
+        if len(made) <= self.limit:
+            self.young.update(made)
+        return table
+
+
 class WordBpe:
-    """A tokenizer file with word ends: its normalizer, its split pattern, its merges and its added tokens."""
+    """A tokenizer file with word ends: its normalizer, its split pattern, its merges and its added tokens.
 
-    def __init__(self, path: str, known: int = 200_000):
+    No word and no normal form reaches over white space, so the unit that is encoded once and then looked up is a run of
+    other characters. ``known`` bounds how many runs and pieces are remembered.
+    """
+
+    def __init__(self, path: str, known: int = 300_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -54,10 +93,14 @@ class WordBpe:
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.lines = regex.compile(self.pattern.pattern + r"|\n")
         self.newer = regex.compile(f"[{newer_characters() or chr(0xFFFF)}]")
         library = Tokenizer.from_file(path)
+        steps = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+        self.steps = [s["type"] for s in steps.get("normalizers", [steps])]
         split = pre_tokenizers.Split(Regex(self.pattern.pattern), "removed", invert=True)
-        self.library = lambda text: [p for p, _ in split.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        self.whole = library.normalizer.normalize_str if library.normalizer else str
+        self.library = lambda text: [p for p, _ in split.pre_tokenize_str(self.whole(text))]
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + self.suffix] for s in symbols], np.int64)
@@ -67,13 +110,18 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.known_limit, self.known = known, {}
+        self.known, self.runs = Memory(known), Memory(known)
 
     def normalize(self, text: str) -> str:
-        """NFC, then lower case of each character by itself (a final sigma is not special); white space only separates."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        """The file's normal form. Lower case is that of each character by itself (a final sigma is not special)."""
+        for step in self.steps:
+            if step == "NFC":
+                text = text if text.isascii() else unicodedata.normalize("NFC", text)
+            elif step == "Lowercase":
+                text = (text if text.isascii() else text.replace("Σ", "σ")).lower()
+            elif step != "Replace":  # white space only separates
+                return self.whole(text)
+        return text
 
     def split(self, text: str) -> list[str]:
         """The words of a text. Unicode versions differ, so texts with recent characters are split by the library's rules."""
@@ -83,15 +131,13 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens in order."""
-        if self.specials is None or "<|" not in text:
+        parts = self.specials.split(text) if self.specials else [text]
+        if len(parts) == 1:
             return self.split(text)
-        found = []
-        for part in self.specials.split(text):
-            found += [part] if part in self.special else self.split(part)
-        return found
+        return [p for part in parts for p in ([part] if part in self.special else self.split(part))]
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, little-endian, 32 bits."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
@@ -129,26 +175,49 @@ class WordBpe:
         done_owner.append(owner)
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
-        return np.split(symbols[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Pieces with the bytes of their ids (little-endian, 32 bits) and their decoded text."""
-        if len(self.known) + len(pieces) > self.known_limit:
-            self.known.clear()
-        fresh = [p for p in pieces if p not in self.known]
+        flat = symbols[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian, 32 bits."""
+        split = [[t] if CONTROLS.search(t) else t.split() for t in texts]
+        look = self.runs.of(set().union(*split), self._runs)
+        return [b"".join(map(look.__getitem__, runs)) for runs in split]
+
+    def _runs(self, fresh: list[str]) -> list[bytes]:
+        together = "\n".join(fresh)
+        odd = set()
+        if self.specials and self.specials.search(together):
+            odd = {r for r in fresh if self.specials.search(r)}
+        if not together.isascii() and self.newer.search(together):
+            odd |= {r for r in fresh if self.newer.search(r)}
+        if CONTROLS.search(together):
+            odd |= {r for r in fresh if CONTROLS.search(r)}
+        if odd:
+            plain = [r for r in fresh if r not in odd]
+            cut = dict(zip(plain, self._cut("\n".join([*plain, ""])), strict=True))
+            found = [self.pieces(r) if r in odd else cut[r] for r in fresh]
+        else:
+            found = self._cut(together + "\n")
+        look = self.known.of({p for pieces in found for p in pieces}, self._pieces)
+        return [b"".join([look[p] for p in pieces]) for pieces in found]
+
+    def _cut(self, lines: str) -> list[list[str]]:
+        """The words of each line by one pass over all of them."""
+        pieces = self.lines.findall(self.normalize(lines))
+        ends = [i for i, p in enumerate(pieces) if p == "\n"]
+        return [pieces[a:b] for a, b in zip([0, *(i + 1 for i in ends)], ends, strict=False)]
+
+    def _pieces(self, fresh: list[str]) -> list[bytes]:
+        special = [p for p in fresh if p in self.special]
         plain = [p for p in fresh if p not in self.special]
-        for p in fresh:
-            if p in self.special:
-                self.known[p] = (self.special[p].to_bytes(4, "little"), p)
-        if plain:
-            for p, ids in zip(plain, self.merge([p.encode() for p in plain]), strict=True):
-                self.known[p] = (ids.astype("<u4").tobytes(), " ".join(map(self.tokens.__getitem__, ids.tolist())))
-        return self.known
+        ids = dict(zip(plain, self.merge([p.encode() for p in plain]), strict=True)) if plain else {}
+        ids |= {p: self.special[p].to_bytes(4, "little") for p in special}
+        return [ids[p] for p in fresh]
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        known = self.learn(set(pieces))
-        return np.frombuffer(b"".join(known[p][0] for p in pieces), "<u4").tolist()
+        return np.frombuffer(self.encoded([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder, so tokens are joined by spaces and keep their word ends."""
@@ -169,10 +238,8 @@ def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def run(batches):
         bpe = loaded(path)
         for part in chunks(batches, 2 << 20):
-            texts = [bpe.pieces(t) for t in strings(part.column(1))]
-            known = bpe.learn(set().union(*texts))
-            ids = [b"".join([known[p][0] for p in pieces]) for pieces in texts]
-            plain = [" ".join([known[p][1] for p in pieces]) for pieces in texts]
+            ids = bpe.encoded(strings(part.column(1)))
+            plain = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -197,7 +264,8 @@ def encode_ids(df: DataFrame, path: str, text: str = "text", ids: str = "token_i
     def run(batches):
         bpe = loaded(path)
         for part in chunks(batches, 2 << 20):
-            rows = pa.array([bpe.encode(t) for t in strings(part.column(at))], pa.list_(pa.int32()))
+            found = bpe.encoded(strings(part.column(at)))
+            rows = pa.array([np.frombuffer(x, "<i4") for x in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, rows], [*columns, ids])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
