@@ -2,8 +2,8 @@
 
 A tolerant scanner builds the tree of block elements. Each paragraph has points for its length and its commas and passes
 them to its ancestors (whole to the parent, half to the grandparent, less further up). A container's score is
-discounted by the share of its text that lies in links. The best container is kept, and siblings of it that score well
-or read like prose.
+discounted by the share of its text that lies in links. The best container is kept, and siblings of it that score a fifth
+of it or read like prose.
 """
 
 from __future__ import annotations
@@ -41,18 +41,30 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What can begin markup, and a whole tag: only values of attributes are quoted, and a quote that is never closed is none.
+START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
 
 
+#: Names that say that a wrapper has or lacks something beside its content, and those of reader comments.
+ABOUT = re.compile(r"\b(?:no|has|with|without|hide|content)[-_](?:sidebar|header|footer|nav|menu|toolbar|tags|related)\b(?:[-_]wrap\w*)?", re.I)
+REPLIES = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
+#: Elements deeper than this become siblings, as in browsers. Points reach this many ancestors.
+DEPTH, LEVELS = 512, 8
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "marked", "score", "text_chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "bad", "marked", "score", "text_chars", "link_chars", "block", "stop", "depth", "layout", "kept")
 
-    def __init__(self, tag, parent, bad=False, marked=False):
-        self.tag, self.parent, self.bad, self.marked = tag, parent, bad, marked
+    def __init__(self, tag, parent, bad=False, marked=False, layout=False):
+        self.tag, self.parent, self.bad, self.marked, self.layout, self.kept = tag, parent, bad, marked, layout, False
         self.children: list = []
         self.score, self.text_chars, self.link_chars = 0.0, 0, 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.stop = self if parent is None or tag in SCOPE or tag in CLOSED_BY else parent.stop
+        self.depth = parent.depth + 1 if parent is not None else 0
 
 
 def _labels(attributes: str) -> tuple[str, bool]:
@@ -70,64 +82,81 @@ def _labels(attributes: str) -> tuple[str, bool]:
 
 
 def tree(html: str) -> Node:
-    """The element tree. Children are nodes and (text, in a link) pairs; broken markup closes what it must."""
+    """The element tree. Children are nodes and texts; broken markup closes what it must. Time grows with the page's length.
+
+    A tag that never ends takes the rest of the page with it. How many elements of a tag are open is counted, so that a
+    search for one goes up only over elements that it closes.
+    """
     root = Node("#root", None)
     node, at, size = root, 0, len(html)
+    opened: dict[str, int] = {}
+
+    def close(found, out):
+        """Closes all open elements from ``found`` up to ``out``, which stays open."""
+        while found is not out:
+            opened[found.tag] -= 1
+            found = found.parent
+        return found
+
     while at < size:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
+        m = START.search(html, at)
         if not m:
-            text = re.sub(r"<[/!?a-zA-Z][^<]*$", "", text)  # a tag cut off at the end
-        if text:
-            node.children.append(text)
+            node.children.append(html[at:])
+            break
+        if m.start() > at:
+            node.children.append(html[at : m.start()])
+        if m[0] == "<!--":
+            at = html.find("-->", m.end())
+            at = at + 3 if at >= 0 else size
+            continue
+        if m[0] in ("<!", "<?"):
+            at = html.find(">", m.end()) + 1 or size
+            continue
+        m = TAG.match(html, m.start())
         if not m:
             break
         at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
-            found = node
-            while found.parent is not None and found.tag != tag:
-                found = found.parent
-            if found.tag == tag:
-                node = found.parent
+            if opened.get(tag):
+                found = node
+                while found.tag != tag:
+                    found = found.parent
+                node = close(node, found.parent)
             continue
-        if tag in BLOCK:  # a block ends an open paragraph
-            found = node
+        if tag in BLOCK and opened.get("p"):  # a block ends an open paragraph
+            found = node.block
             while found.parent is not None and found.tag not in SCOPE and found.tag != "p":
-                found = found.parent
+                found = found.parent.block
             if found.tag == "p":
-                node = found.parent
-        if tag in CLOSED_BY:
-            found = node
+                node = close(node, found.parent)
+        if tag in CLOSED_BY and any(opened.get(t) for t in CLOSED_BY[tag]):
+            found = node.stop
             while found.parent is not None and found.tag not in SCOPE - {"td", "th"} and found.tag not in CLOSED_BY[tag]:
-                found = found.parent
+                found = found.parent.stop
             if found.tag in CLOSED_BY[tag]:
-                node = found.parent
+                node = close(node, found.parent)
         labels, hidden = _labels(m[3]) if m[3] else ("", False)
-        marked = tag in ("article", "main") or bool(labels and LIKELY.search(labels))
-        bad = hidden or tag in NEVER or bool(labels and UNLIKELY.search(labels) and tag not in ("html", "body", "article", "main"))
-        bad |= tag == "header" and not _inside(node, ("article", "main"))
-        fresh = Node(tag, node, bad, marked)
+        article = tag in ("article", "main")
+        marked = article or bool(labels and LIKELY.search(labels))
+        layout = bool(labels and tag not in ("html", "body", "article", "main") and UNLIKELY.search(ABOUT.sub("", labels)))
+        bad = hidden or tag in NEVER or (tag == "header" and not (opened.get("article") or opened.get("main")))
+        fresh = Node(tag, node, bad or layout, marked, layout and not bad and not REPLIES.search(labels))
+        if article:  # a wrapper that is named after what stands beside the article is no part of the furniture
+            up = node
+            while up is not None and up.layout:
+                up.bad = up.layout = False
+                up = up.parent
         node.children.append(fresh)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = html.find(">", end.start()) + 1 or size if end else size
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in VOID and not m[3].rstrip().endswith("/") and fresh.depth < DEPTH:
             node = fresh
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
-def _inside(node, tags) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
     """(block element, its own text with white space turned into one space, characters of it in links), in page order."""
     found: list[tuple[Node, str, int]] = []
@@ -149,10 +178,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
             flush(node)
         if i == len(node.children):
             if node.tag in BLOCK:
-                up = node.parent
-                while up.parent is not None and up.tag not in BLOCK:
-                    up = up.parent
-                flush(up)
+                flush(node.parent.block)
             continue
         stack.append((node, i + 1, links))
         child = node.children[i]
@@ -172,31 +198,34 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
 
 def extract(html: str) -> str:
     """The article's blocks in page order, joined by newlines; empty if the page has no text."""
-    found = blocks(tree(html))
+    root = tree(html)
+    found = blocks(root)
     if not found:
         return ""
-    scored: list[Node] = []
     for node, text, links in found:
-        up = node
-        while up is not None:
-            if not up.text_chars and up.tag != "#root":
-                scored.append(up)
-            up.text_chars += len(text)
-            up.link_chars += links
-            up = up.parent
+        node.text_chars += len(text)
+        node.link_chars += links
         points = 1 + len(text) / 100 + sum(map(text.count, ",，、;")) if len(text) >= 25 or node.tag == "p" else 0.2
         points *= 1 - links / max(1, len(text))
         share, up = 1.0, node.parent if node.tag not in ("body", "article", "main", "section", "div", "td") else node
-        depth = 0
-        while up is not None:
+        for depth in range(1, LEVELS + 1):
+            if up is None:
+                break
             up.score += points * share
-            depth += 1
             share = 1 / (2 * depth)
             up = up.parent
+    every = [root]
+    for node in every:  # parents first
+        every += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(every):
+        if node.parent is not None:
+            node.parent.text_chars += node.text_chars
+            node.parent.link_chars += node.link_chars
 
     def worth(node):
         return node.score * (1 - node.link_chars / max(1, node.text_chars)) * (1.25 if node.marked else 1)
 
+    scored = [n for n in every[1:] if n.text_chars]
     scored = [n for n in scored if n.tag not in ("html", "p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "span", "b", "i", "em", "strong", "a")]
     if not scored:
         return "\n".join(text for _, text, _ in found)
@@ -207,25 +236,24 @@ def extract(html: str) -> str:
         up = up.parent
         kept = {up}
     best = up
-    floor = max(10, 0.2 * worth(best))
+    floor = 0.2 * worth(best)
     for sibling in best.parent.children if best.parent is not None else ():
         if isinstance(sibling, Node) and not sibling.bad and sibling is not best and sibling.text_chars:
             density = sibling.link_chars / sibling.text_chars
-            if worth(sibling) >= floor or (sibling.tag == "p" and sibling.text_chars > 80 and density < 0.25) or sibling.tag == "h1":
+            if worth(sibling) >= floor or (sibling.tag in ("p", "div", "section") and sibling.text_chars > 80 and density < 0.25 and sibling.score >= 2) or sibling.tag == "h1":
                 kept.add(sibling)
 
-    def inside(node):
-        while node is not None:
-            if node in kept:
-                return True
-            node = node.parent
-        return False
-
-    return "\n".join(text for node, text, _ in found if inside(node))
+    for node in every:
+        node.kept = node in kept or (node.parent is not None and node.parent.kept)
+    return "\n".join(text for node, text, _ in found if node.kept)
 
 
 def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, text, n_chars) of every page; a null or empty page has an empty text. Nothing is cut or capped."""
+    """(key, url, text, n_chars) of every page; a null or empty page has an empty text. Nothing is cut or capped.
+
+    Broken, deep and very long pages take time in proportion to their length. Repeated rows and null keys stay, other
+    columns are ignored. Of equally good containers the first is the best.
+    """
 
     def run(batches):
         for part in chunks(batches):
