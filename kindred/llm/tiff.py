@@ -20,6 +20,8 @@ from .common import chunks, utf8
 
 #: Fixed values of the TIFF 6.0 format: compression schemes and field sizes.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that one stored byte can stand for at most.
+MOST = {LZW: 2731, DEFLATE: 1032, DEFLATE_OLD: 1032, PACKBITS: 64}
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 WIDTH, SAMPLES = 64, 3
 ROW_BYTES = WIDTH * SAMPLES
@@ -248,6 +250,8 @@ def read_tiff(data: bytes) -> Iterator[Page]:
             where = at + 10 + 12 * i
             if size > 4:
                 (where,) = struct.unpack_from(order + "I", data, where)
+            if where + size > len(data):
+                raise ValueError("a field lies outside the file")
             code = {1: "B", 3: "H", 4: "I"}.get(kind)
             if code:
                 tags[tag] = struct.unpack_from(order + code * n, data, where)
@@ -266,9 +270,16 @@ def _page(data: bytes, tags: dict, order: str, index: int) -> Page:
     tiled = 324 in tags
     wide, high = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height) or 1)
     across = -(-width // wide) if tiled else 1
+    if not wide or not high:
+        raise ValueError("strips or tiles without rows")
+    places, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+    if height * width * samples * kind.itemsize > sum(MOST.get(compression, 1) * (min(n, len(data)) + 16) for n in sizes):
+        raise ValueError("more samples than the stored bytes can hold")
     image = np.zeros((height, width, samples), kind)
-    for k, (place, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+    for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
         top, left = k // across * high, k % across * wide
+        if top >= height:
+            break
         rows = high if tiled else min(high, height - top)
         raw = _unpack(data[place : place + size], compression, rows * wide * samples * kind.itemsize)
         block = np.frombuffer(raw, kind.newbyteorder(order)).astype(kind).reshape(rows, wide, samples)
@@ -320,7 +331,8 @@ def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """All columns of ``df`` and, for each page, page_index, width, height, samples, bits, pixels, page_feature and page_error.
 
     A null or undecodable media value gives one row with a null page and the reason in page_error, so no row is lost.
-    Columns of ``df`` with one of these names are replaced.
+    Columns of ``df`` with one of these names are replaced. A file that declares more samples than its bytes can hold, or
+    fields outside itself, is undecodable; nothing is allocated for it.
     """
     own = ["page_index", "width", "height", "samples", "bits", "pixels", "page_feature", "page_error"]
     source = df.drop(*own)
@@ -332,7 +344,7 @@ def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
             if data is None:
                 raise ValueError("null media")
             return [(p.index, p.width, p.height, p.samples, p.bits, p.pixels, feature(p), None) for p in read_tiff(data)]
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as error:
+        except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as error:
             return [(None,) * 7 + (str(error) or type(error).__name__,)]
 
     kinds = [pa.int32()] * 5 + [pa.binary(), pa.string(), pa.string()]
