@@ -61,9 +61,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished jobs now; else they stay until the driver's next collection.
 
-    Two rounds, since the first only frees what holds the references.
+    Goes on while their number falls: the first collections only free what holds the references.
     """
-    for _ in range(2):
+    context = spark.sparkContext
+    statuses = context._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before, still = statuses.size(), 0
+    for _ in range(12):
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        context._jvm.System.gc()
+        time.sleep(0.25)
+        now = statuses.size()
+        still = still + 1 if now >= before else 0
+        before = now
+        if still == 2 or not now:
+            break
