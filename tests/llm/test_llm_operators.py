@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -148,6 +149,30 @@ def test_boundaries_are_optimal():
             assert len(found) <= k and found[-1] == lengths[-1] and padding(lengths, counts, found) == best
 
 
+def test_boundaries_are_optimal_beyond_small_lengths():
+    rng = random.Random(5)
+    for _ in range(20):
+        lengths = sorted(rng.sample(range(200_000), 120))
+        counts = [rng.randint(1, 10**9) for _ in lengths]
+        best = [n * sum(counts[: i + 1]) for i, n in enumerate(lengths)]
+        for k in range(1, 7):
+            found = packing.optimal_boundaries(lengths, counts, k)
+            assert padding(lengths, counts, found) == best[-1] - sum(n * c for n, c in zip(lengths, counts, strict=True))
+            best = [min([best[j]] + [best[i] + lengths[j] * sum(counts[i + 1 : j + 1]) for i in range(j)]) for j in range(len(lengths))]
+
+
+def test_padded_batches(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.randint(1, 9) for _ in range(rng.choice([0, 3, 5, 40, 90]))] or None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    packed = packing.pack(df, length=F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")), budget=200)
+    seen = {}
+    for b in packing.padded_batches(df, packed, "ids").collect():
+        assert len(b.keys) * b.padded_length <= 200 and all(len(x) == b.padded_length for x in b.token_ids)
+        seen |= {k: [t for t in x if t] for k, x in zip(b.keys, b.token_ids, strict=True)}
+    assert seen == {i: x or [] for i, x in rows}
+
+
 def test_packing_is_whole_and_within_budget(spark, nasty):
     for slices in (3, 20_000):
         rows = packing.pack(nasty, budget=64, slice_rows=slices).toPandas()
@@ -210,6 +235,27 @@ def test_html():
     assert html.extract(deep) == "deep text, all the way down, as they say, but found"
 
 
+@pytest.mark.parametrize("page", [
+    "<x " * 350_000, "<div>x" * 170_000, "<x a='" * 170_000, '<x a=">' * 150_000, "</x>" * 250_000, "<div>" * 100_000 + "</p>" * 100_000,
+    "<b>" * 150_000 + "<h1>a" * 100_000, "<li><b>" * 140_000, "<option><ul>" + "<b>" * 100_000 + "<option />" * 70_000, "<!--" * 250_000, "<p>a" * 250_000,
+    "<span>" * 90_000 + "<p>a</p>" * 60_000, "<div class=sidebar><article>" * 35_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 12  # a megabyte; a quadratic scan takes hours
+
+
+def test_wrappers_named_after_what_stands_beside_the_article():
+    body = "<p>" + "Prose, with commas, and more of it, as articles have. " * 5 + "</p>"
+    expected = ("Prose, with commas, and more of it, as articles have. " * 5).strip()
+    assert html.extract(f"<div class='content-sidebar-wrap'><main>{body}</main><div class=sidebar><p>Side, text, here.</p></div></div>") == expected
+    assert html.extract(f"<div class='layout no-sidebar'>{body}</div><div class=sidebar><p>Side, text, here.</p></div>") == expected
+    assert html.extract(f"<div class=post>{body}</div><section class=comments><article>{body}</article></section>") == expected
+    short = "A short section, with a comma or two, that stands beside a long one, and is prose all the same."
+    assert short in html.extract(f"<div>{body * 6}</div><div><p>{short * 3}</p></div>")
+
+
 def test_pages_keep_nulls_and_repeats(spark):
     rows = spark.createDataFrame([(1, None, PAGE, "x"), (1, "u", None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
     found = sorted((str(r.page_id), str(r.url), r.n_chars == len(r.text), len(r.text) > 0) for r in html.extract_pages(rows).collect())
@@ -331,8 +377,9 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [suffix.GROUP, 2])
-def test_suffix_dedup_against_brute_force(spark, group):
+@pytest.mark.parametrize(("group", "frequent"), [(suffix.GROUP, 2048), (suffix.GROUP, 1), (2, 1), (5, 20)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, group, frequent):
+    monkeypatch.setattr(suffix, "FREQUENT", frequent)
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
     base = [noise(700) for _ in range(5)]
@@ -344,6 +391,9 @@ def test_suffix_dedup_against_brute_force(spark, group):
             parts.append(rng.choice([rng.choice(base)[a : a + rng.randint(100, 420)], rng.choice(["a", "ab", "abc"]) * rng.randint(1, 150), "é" * rng.randint(1, 150), noise(rng.randint(1, 300))]))
         texts.append("".join(parts))
     texts += [texts[-1], texts[-1], "x" * 199, "y" * 200, "z" * 201]
+    for size in (60, 130, 190, 199, 260):  # one passage in many texts
+        common = noise(size)
+        texts += [noise(rng.randint(0, 160)) + common + noise(rng.randint(0, 160)) for _ in range(15)]
     rows = suffix.suffix_dedup(documents(spark, texts), group=group).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed_spans").alias("spans"), F.sha2("kept", 256).alias("digest")
     )
@@ -351,6 +401,23 @@ def test_suffix_dedup_against_brute_force(spark, group):
     assert [found[i] for i in range(len(texts))] == brute_removed(texts)
 
 
+@pytest.mark.parametrize("group", [suffix.GROUP, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rows_that_repeat_under_one_id_are_separate_places(spark, group, seed):
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    common = noise(60)
+    texts = [noise(70) + common + noise(70) for _ in range(6)]
+    texts += [noise(70) + common + noise(70) for _ in range(2)]
+    rows = [(i, t) for i, t in enumerate(texts[:6])] * 2 + [(6 + i, t) for i, t in enumerate(texts[6:])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 14 and all(r.n_removed == (200 if r.doc_id < 6 else 0) for r in found)
+
+
 def test_suffix_sort_survives_hash_collisions(monkeypatch):
     rng = np.random.default_rng(1)
     rows = rng.integers(97, 100, (200, suffix.LENGTH)).astype(np.uint8)
@@ -386,6 +453,18 @@ def test_tiff_round_trip(compression, predictor, tile, order):
         assert back.pixels == page.tobytes() and (back.height, back.width, back.samples) == page.shape and back.tiled == bool(tile)
 
 
+def test_tiff_files_that_lie_about_their_size(spark):
+    import struct
+
+    def file(width, height, count=1, where=0):
+        fields = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, count, where), (279, 4, 1, 5), (278, 4, 1, height)]
+        return b"II" + struct.pack("<HIH", 42, 8, len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + struct.pack("<I", 0)
+
+    bad = [file(1 << 30, 1 << 20), file(0, 5), file(5, 5, (1 << 32) - 1, 4), file(1 << 31, 1 << 31), b"II*\0", b"MM\0*\0\0\0\x08\xff\xff"]
+    rows = tiff.decode_pages(spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "k int, media binary")).collect()
+    assert sorted(r.k for r in rows) == list(range(len(bad))) and all(r.page_error for r in rows)
+
+
 def test_tiff_walk_ends_on_cycles_and_reports_errors(spark):
     data = bytearray(tiff.write_tiff([np.zeros((2, 2, 1), np.uint8)], tiff.NONE, 1))
     count = int.from_bytes(data[8:10], "little")
