@@ -3,6 +3,7 @@
 Vectors and softmax are trained jointly by stochastic gradient descent in numpy. A word's vector is the mean of its
 n-gram vectors and its own; a passage's vector is the mean of its words. An unseen spelling shares most n-grams with the
 spellings that were seen. Averages and softmax are linear up to the last step, so scoring needs one number per bucket.
+A text takes the softmax of its highest passage, rescaled by a logistic calibration of that one number.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Config:
-    """``passage`` words are averaged at a time, 0 for the whole text.
+    """``passage`` words are averaged at a time, 0 for the whole text. ``same`` makes a word that repeats the one before a token of its own.
 
     ``rows`` labelled rows of each class and ``sample_bytes`` of their texts in all bound the training sample.
     """
@@ -39,6 +40,8 @@ class Config:
     rows: int = 2000
     sample_bytes: int = 24 << 20
     calibrate: float = 0.25
+    clean: float = 0.999
+    same: bool = False
     seed: int = 7
 
 
@@ -77,169 +80,183 @@ SAME = "\x02"
 
 def tokens(text: str, config: Config) -> list[str]:
     words = (text.lower() if config.lower else text).split()
+    if not config.same:
+        return words
     return words[:1] + [SAME if w == before else w for before, w in zip(words, words[1:])]  # noqa: B905
 
 
-def passages(n: int, size: int, step: int = 0) -> list[tuple[int, int]]:
-    """Windows of ``size`` words over n words, half overlapping unless ``step`` is given; one window if n is smaller or size is 0."""
+def passages(n: int, size: int) -> list[tuple[int, int]]:
+    """Runs of ``size`` words that cover n words, the last one whole; one run if n is smaller or size is 0."""
     if not size or n <= size:
         return [(0, n)] if n else []
-    starts = [*range(0, n - size, step or size // 2), n - size]
-    return [(s, s + size) for s in starts]
+    return [(s, s + size) for s in [*range(0, n - size, size), n - size]]
 
 
-class Batch:
-    """Passages as index arrays: word types of each, n-grams of each type, and the buckets that occur."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + sizes[0] - 1, starts[1], ... in one array."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Corpus:
+    """Passages as index arrays: word types of each, and the buckets of each type."""
 
     def __init__(self, spans: list[list[str]], config: Config):
         types: dict[str, int] = {}
-        self.words = np.array([types.setdefault(w, len(types)) for s in spans for w in s], np.int64)
+        self.words = np.array([types.setdefault(w, len(types)) for s in spans for w in s], np.int32)
         self.sizes = np.array([len(s) for s in spans], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         buckets, self.type_starts = word_buckets(list(types), config)
-        self.type_sizes = np.diff(np.r_[self.type_starts, len(buckets)])
-        self.used, self.grams = np.unique(buckets, return_inverse=True)
+        self.buckets, self.type_sizes = buckets.astype(np.int32), np.diff(np.r_[self.type_starts, len(buckets)])
+
+    def raw(self, state) -> np.ndarray:
+        """Log odds of each passage."""
+        table, bias = _table(state)
+        by_type = np.add.reduceat(table[self.buckets], self.type_starts) / self.type_sizes
+        return bias + np.add.reduceat(by_type[self.words], self.starts) / self.sizes
+
+
+def _table(state) -> tuple[np.ndarray, float]:
+    """What each bucket adds to the log odds, and their bias."""
+    vectors, soft, bias = state
+    return vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
-def train(spans: list[list[str]], labels: np.ndarray, weights: np.ndarray, config: Config, epochs: int, state=None):
-    """(vectors, softmax weights, bias) by SGD with per-row adaptive rates; ``state`` continues an earlier training."""
+def _balanced(labels: np.ndarray) -> np.ndarray:
+    """Weights that give both classes half of the whole."""
+    return np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
+
+
+def train(corpus: Corpus, use: np.ndarray, labels: np.ndarray, config: Config):
+    """(vectors, softmax weights, bias) by SGD with per-row adaptive rates over the passages ``use``."""
     rng = np.random.default_rng(config.seed)
     d = config.dim
-    if state is None:
-        vectors = rng.uniform(-1 / d, 1 / d, (config.buckets, d))
-        state = [vectors, np.zeros((d, 2)), np.zeros(2), np.full(config.buckets, 1e-3), 1e-3]
-        state[1] = rng.uniform(-0.5, 0.5, (d, 2))
-    vectors, soft, bias, seen, soft_seen = state
-    order = rng.permutation(len(spans))
-    batches = [order[i : i + config.batch] for i in range(0, len(order), config.batch)]
-    for epoch in range(epochs):
-        for k in rng.permutation(len(batches)):
-            b = batches[k]
-            x = Batch([spans[i] for i in b], config)  # made anew each time: kept ones would fill the driver
-            rows = vectors[x.used]
-            typed = np.add.reduceat(rows[x.grams], x.type_starts) / x.type_sizes[:, None]
-            mean = np.add.reduceat(typed[x.words], x.starts) / x.sizes[:, None]
+    vectors = rng.uniform(-1 / d, 1 / d, (config.buckets, d))
+    soft, bias = rng.uniform(-0.5, 0.5, (d, 2)), np.zeros(2)
+    seen, soft_seen = np.full(config.buckets, 1e-3), 1e-3
+    weights = np.zeros(len(labels))
+    weights[use] = _balanced(labels[use])
+    for _ in range(config.epochs):
+        order = rng.permutation(use)
+        for at in range(0, len(order), config.batch):
+            b = order[at : at + config.batch]
+            sizes = corpus.sizes[b]
+            types, words = np.unique(corpus.words[_ranges(corpus.starts[b], sizes)], return_inverse=True)
+            type_sizes = corpus.type_sizes[types]
+            used, grams = np.unique(corpus.buckets[_ranges(corpus.type_starts[types], type_sizes)], return_inverse=True)
+            typed = np.add.reduceat(vectors[used][grams], np.cumsum(type_sizes) - type_sizes) / type_sizes[:, None]
+            mean = np.add.reduceat(typed[words], np.cumsum(sizes) - sizes) / sizes[:, None]
             logits = mean @ soft + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             error = (p - np.eye(2)[labels[b]]) * (weights[b] / weights[b].sum())[:, None]
-            back = error @ soft.T / x.sizes[:, None]
-            spread = np.repeat(back, x.sizes, axis=0)
-            by_type = np.stack([np.bincount(x.words, spread[:, j], len(x.type_sizes)) for j in range(d)], 1) / x.type_sizes[:, None]
-            spread = np.repeat(by_type, x.type_sizes, axis=0)
-            slope = np.stack([np.bincount(x.grams, spread[:, j], len(x.used)) for j in range(d)], 1)
-            seen[x.used] += (slope**2).mean(1) * 1e4
-            vectors[x.used] -= config.rate * 10 * slope / np.sqrt(seen[x.used])[:, None]
+            spread = np.repeat(error @ soft.T / sizes[:, None], sizes, axis=0)
+            by_type = np.stack([np.bincount(words, spread[:, j], len(types)) for j in range(d)], 1) / type_sizes[:, None]
+            spread = np.repeat(by_type, type_sizes, axis=0)
+            slope = np.stack([np.bincount(grams, spread[:, j], len(used)) for j in range(d)], 1)
+            seen[used] += (slope**2).mean(1) * 1e4
+            vectors[used] -= config.rate * 10 * slope / np.sqrt(seen[used])[:, None]
             g = mean.T @ error
             soft_seen += float((g**2).mean())
             soft -= config.rate * g / np.sqrt(soft_seen)
             bias -= config.rate * error.sum(0)
-    return [vectors, soft, bias, seen, soft_seen]
+    return vectors, soft, bias
 
 
 @dataclass
 class Model:
-    """One number per bucket, a bias, and a logistic calibration of what the passages of a text score."""
+    """One number per bucket, a bias, and the slope and offset that rescale the log odds of a text."""
 
     config: Config
     table: np.ndarray
     bias: float
-    weights: np.ndarray
+    slope: float = 1.0
     offset: float = 0.0
 
     def raw(self, texts: list[str]) -> np.ndarray:
-        """A row per text: log odds of the highest passage and, if texts have several, the mean of the three highest, the mean
-        of all, the share of passages over zero and the logarithm of their number. The bias alone for a text without words."""
+        """Log odds of the highest passage of each text, at any word; the bias alone for a text without words."""
         types: dict[str, int] = {}
         flat: list[int] = []
-        bounds, counts = [], []
+        counts = []
         for text in texts:
             words = tokens(text, self.config)
-            spans = passages(len(words), self.config.passage)
-            bounds += [(len(flat) + a, len(flat) + b) for a, b in spans]
-            counts.append(len(spans))
+            counts.append(len(words))
             flat += [types.setdefault(w, len(types)) for w in words]
-        scores = np.empty(0)
-        if flat:
-            buckets, starts = word_buckets(list(types), self.config)
-            sizes = np.diff(np.r_[starts, len(buckets)])
-            by_type = np.add.reduceat(self.table[buckets], starts) / sizes
-            total = np.r_[0.0, np.cumsum(by_type[np.array(flat, np.int64)])]
-            edges = np.array(bounds, np.int64)
-            scores = self.bias + (total[edges[:, 1]] - total[edges[:, 0]]) / (edges[:, 1] - edges[:, 0])
-        each = np.split(scores, np.cumsum(counts)[:-1]) if texts else []
-        if not self.config.passage:
-            return np.array([[s[0] if len(s) else self.bias] for s in each]).reshape(-1, 1)
-        out = np.tile([self.bias, self.bias, self.bias, 0.0, 0.0], (len(texts), 1))
-        for i, s in enumerate(each):
-            if len(s):
-                top = np.sort(np.partition(s, -3)[-3:] if len(s) > 3 else s)
-                over = (s > 0).sum()
-                out[i] = top[-1], top.mean(), s.mean(), over / len(s), np.log1p(over)
+        out = np.full(len(texts), self.bias)
+        if not flat:
+            return out
+        buckets, starts = word_buckets(list(types), self.config)
+        by_type = np.add.reduceat(self.table[buckets], starts) / np.diff(np.r_[starts, len(buckets)])
+        total = np.r_[0.0, np.cumsum(by_type[np.array(flat, np.int64)])]
+        n = np.array(counts, np.int64)
+        first = np.cumsum(n) - n
+        wide = np.minimum(n, self.config.passage or n.max())
+        some = np.flatnonzero(n)
+        places = n[some] - wide[some] + 1  # passages of each text
+        at, size = _ranges(first[some], places), np.repeat(wide[some], places)
+        out[some] += np.maximum.reduceat((total[at + size] - total[at]) / size, np.cumsum(places) - places)
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = np.clip(self.raw(texts) @ self.weights + self.offset, -40, 40)
-        return 1 / (1 + np.exp(-z))
-
-
-def _model(state, config: Config) -> Model:
-    vectors, soft, bias, *_ = state
-    n = 5 if config.passage else 1
-    return Model(config, (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), np.eye(n)[0])
+        return 1 / (1 + np.exp(-np.clip(self.raw(texts) * self.slope + self.offset, -40, 40)))
 
 
 def _calibrate(model: Model, raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-    """A logistic fit of label on scores with smoothed targets and a light ridge, by Newton steps."""
+    """A logistic fit of label on log odds with smoothed targets and a light ridge, by Newton steps."""
     n1, n0 = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    centre, scale = raw.mean(axis=0), np.maximum(raw.std(axis=0), 1e-9)
+    centre, scale = raw.mean(), max(raw.std(), 1e-9)
     x = np.column_stack([(raw - centre) / scale, np.ones(len(raw))])
-    ridge = np.diag([0.3] * raw.shape[1] + [1e-3])
-    beta = np.zeros(x.shape[1])
+    ridge = np.diag([0.3, 1e-3])
+    beta = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         g = x.T @ (weights * (p - target)) + ridge @ beta
         h = (x * (weights * p * (1 - p))[:, None]).T @ x + ridge
         beta = beta - np.clip(np.linalg.solve(h, g), -2, 2)
-    model.weights = beta[:-1] / scale
-    model.offset = float(beta[-1] - (beta[:-1] * centre / scale).sum())
+    model.slope = float(beta[0] / scale)
+    model.offset = float(beta[1] - beta[0] * centre / scale)
+
+
+def _shown(corpus: Corpus, owner: np.ndarray, labels: np.ndarray, config: Config, rng) -> np.ndarray:
+    """Labels of passages: 1 for those of a text of class 1 that show it.
+
+    Half of the texts train a model with their texts' labels, and the other half's passages count as showing the class if
+    that model puts them above nearly all (``clean``) of that half's passages of class 0. What a model learned by heart
+    from one half isn't confirmed by the other.
+    """
+    half = (rng.random(owner.max() + 1) < 0.5)[owner]
+    over = np.zeros(len(labels), bool)
+    for mine in (half, ~half):
+        if min((labels[mine] == c).sum() for c in (0, 1)) and (labels[~mine] == 0).any():
+            raw = corpus.raw(train(corpus, np.flatnonzero(mine), labels, config))
+            over |= ~mine & (raw > np.quantile(raw[~mine & (labels == 0)], config.clean))
+    found = (labels == 1) & over
+    return found.astype(np.int64) if found.any() else labels
 
 
 def fit(texts: list[str], labels: list[int], share: dict[int, float], config: Config) -> Model:
     """Trains on most rows and calibrates on the rest. ``share``: how many rows each sampled row of a class stands for."""
     y = np.array(labels, np.int64)
-    if not len(y) or len(set(labels)) < 2:
-        rate = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
-        return Model(config, np.zeros(config.buckets), float(np.log(rate / (1 - rate))), np.eye(5 if config.passage else 1)[0])
     rng = np.random.default_rng(config.seed)
     aside = rng.random(len(y)) < config.calibrate
     if min((y[aside] == c).sum() for c in (0, 1)) < 10:
         aside[:] = False
     spans, owner = [], []
-    pool: dict[str, str] = {}
     for i in np.flatnonzero(~aside):
-        words = [pool.setdefault(w, w) for w in tokens(texts[i], config)]
-        for a, b in passages(len(words), config.passage, config.passage):
+        words = tokens(texts[i], config)
+        for a, b in passages(len(words), config.passage):
             spans.append(words[a:b])
             owner.append(i)
     owner = np.array(owner, np.int64)
     label = y[owner]
-    balance = lambda v: np.where(v == 1, 0.5 / max(1, (v == 1).sum()), 0.5 / max(1, (v == 0).sum())) * len(v)
-    state = train(spans, label, balance(label), config, config.epochs)
-    if config.passage:  # only the passages that show it keep their text's label; the others count as clean
-        for _ in range(2):
-            table = state[0] @ (state[1][:, 1] - state[1][:, 0])
-            raw = np.empty(len(spans))
-            for a in range(0, len(spans), 4096):
-                x = Batch(spans[a : a + 4096], config)
-                typed = np.add.reduceat(table[x.used][x.grams], x.type_starts) / x.type_sizes
-                raw[a : a + 4096] = np.add.reduceat(typed[x.words], x.starts) / x.sizes + state[2][1] - state[2][0]
-            top = np.full(len(y), -np.inf)
-            np.maximum.at(top, owner, raw)
-            label = ((y[owner] == 1) & ((raw > 0) | (raw >= top[owner]))).astype(np.int64)
-            state = train(spans, label, balance(label), config, max(2, config.epochs // 2), state)
-    model = _model(state, config)
+    if len(set(label.tolist())) < 2:
+        rate = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
+        return Model(config, np.zeros(config.buckets), float(np.log(rate / (1 - rate))))
+    corpus = Corpus(spans, config)
+    if config.passage:
+        label = _shown(corpus, owner, label, config, rng)
+    model = Model(config, *_table(train(corpus, np.arange(len(label)), label, config)))
     held = aside if aside.any() else np.ones(len(y), bool)
     weights = np.array([share[c] for c in y[held].tolist()])
     _calibrate(model, np.concatenate([model.raw([texts[i]]) for i in np.flatnonzero(held)]), y[held], weights / weights.mean())
@@ -250,7 +267,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, config: Config,
     """A bounded sample of labelled rows in the order of a hash of the key, and what a row of each class stands for.
 
     Rows without a 0 or 1 label or with ``usable`` false are not taken. Keys and lengths of at most 2 * rows texts come to
-    the driver first; then the whole texts of those that fit into sample_bytes.
+    the driver first; then the whole texts of those that fit into sample_bytes. Of labels that contradict each other under
+    one key the greatest counts, of texts that share a key the greatest.
     """
     known = labels.filter(F.col(label).isin(0, 1) & usable).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -279,7 +297,10 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, config: Config,
 
 
 def score(df: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """All columns of ``df`` and the calibrated score of ``text`` as ``name``; a column of that name is replaced."""
+    """All columns of ``df`` and the calibrated score of ``text`` as ``name``; a column of that name is replaced.
+
+    Null and empty texts have the score of no words. Repeated rows have equal scores.
+    """
     source = df.drop(name)
     columns = source.columns
     at = columns.index(text)
@@ -294,9 +315,9 @@ def score(df: DataFrame, model: Model, name: str = "score", text: str = "text")
     return source.mapInArrow(run, f"{schema}, `{name}` double")
 
 
-#: Passages of eight words: an insult among thousands of words is seen as well as in a short text.
-TOXICITY = Config(lower=True, passage=8, rows=1000, epochs=4)
-QUALITY = Config(lower=False, passage=0)
+#: Passages of two words: an insult among thousands of words is seen as well as in a short text.
+TOXICITY = Config(lower=True, passage=2, rows=1000, epochs=8, batch=256)
+QUALITY = Config(lower=False, passage=0, same=True)
 
 
 def classifier(label: str, fold: int, modulus: int, threshold: float, config: Config) -> Callable[[DataFrame, DataFrame], DataFrame]:

@@ -119,14 +119,62 @@ def test_scores_of_odd_texts_are_defined_and_ids_are_no_inputs(spark, nasty):
     assert len(same) == 1
 
 
-def test_unseen_misspellings_share_grams():
-    rng = random.Random(2)
+def auc(score, y):
+    rank = np.argsort(np.argsort(score)) + 1
+    y = np.array(y) == 1
+    return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+@pytest.mark.parametrize("seed", [2, 3, 4, 5])
+def test_unseen_misspellings_share_grams(seed):
+    rng = random.Random(seed)
     plain = ["".join(rng.choice("aeiounrstlm") for _ in range(rng.randint(2, 8))) for _ in range(300)]
-    line = lambda bad: " ".join(rng.choice(plain) for _ in range(40)) + bad
-    texts = [line("") for _ in range(150)] + [line(rng.choice([" worthless", " worthlesss", " wworthless"])) for _ in range(150)]
+    line = lambda *bad: " ".join(rng.choice(plain) for _ in range(40)) + (" " + rng.choice(bad) if bad else "")
+    texts = [line() for _ in range(150)] + [line("worthless", "worthlesss", "wworthless") for _ in range(150)]
     model = subword.fit(texts, [0] * 150 + [1] * 150, {0: 1.0, 1: 1.0}, subword.TOXICITY)
-    clean, bad = model.score([line(""), line("")]), model.score([line(" worthles"), line(" vorthless")])
-    assert clean.max() < bad.min()
+    y = [0] * 100 + [1] * 100
+    clean, seen, unseen = (model.score([line(*bad) for _ in range(100)]) for bad in ((), ("worthless", "worthlesss"), ("worthles", "vorthless", "worthl3ss")))
+    assert auc(np.r_[clean, seen], y) >= 0.95 and auc(np.r_[clean, unseen], y) >= 0.9
+    assert (clean >= 0.3).mean() <= 0.1
+
+
+def plain_score(model, text):
+    """The forward pass word by word, in Python's whole numbers."""
+    c, mask, prime = model.config, (1 << 64) - 1, 0x9E3779B97F4A7C15
+    words = (text.lower() if c.lower else text).split()
+    if c.same:
+        words = words[:1] + [subword.SAME if a == b else a for a, b in zip(words[1:], words, strict=False)]
+
+    def bucket(x):
+        return ((((x ^ (x >> 29)) * prime) & mask) >> 32) % c.buckets
+
+    def value(word):
+        codes = [ord(x) for x in f"<{word}>"]
+        found = []
+        for n in c.grams:
+            for i in range(len(codes) - n + 1):
+                h = codes[i]
+                for x in codes[i + 1 : i + n]:
+                    h = (h * 0x100000001B3 + x) & mask
+                found.append(bucket((h * prime + n) & mask))
+        whole = sum(((x + i * prime) & mask) * ((2 * i + prime) & mask) for i, x in enumerate(codes)) & mask
+        found.append(bucket((whole * prime) & mask))
+        return sum(model.table[b] for b in found) / len(found)
+
+    values = [value(w) for w in words]
+    size = min(len(values), c.passage or len(values))
+    best = max((sum(values[i : i + size]) / size for i in range(len(values) - size + 1)), default=0.0) if size else 0.0
+    return 1 / (1 + np.exp(-min(40, max(-40, (model.bias + best) * model.slope + model.offset))))
+
+
+@pytest.mark.parametrize("config", [subword.TOXICITY, subword.QUALITY])
+def test_scores_against_a_plain_forward_pass(config):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["idiot", "Prose", "ß", "日本語", "a", "word", "Word", "x" * 40]) for _ in range(rng.randint(0, 30)))
+    texts = [line() for _ in range(60)]
+    model = subword.fit(texts, [int("idiot" in t) for t in texts], {0: 1.0, 1: 1.0}, config)
+    some = texts + [t or "" for t in NASTY]
+    assert model.score(some) == pytest.approx([plain_score(model, t) for t in some])
 
 
 # 3 packing
