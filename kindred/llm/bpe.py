@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .common import chunks, strings
+from .common import chunks, strings, widened
 
 NO_RANK = np.iinfo(np.int64).max
 
@@ -268,8 +268,7 @@ def encode_ids(df: DataFrame, path: str, text: str = "text", ids: str = "token_i
             rows = pa.array([np.frombuffer(x, "<i4") for x in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, rows], [*columns, ids])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    return source.mapInArrow(run, widened(source.schema, f"`{ids}` array<int>"))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -284,8 +283,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
             rows = pa.array([bpe.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, rows], [*columns, text])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, `{text}` string")
+    return source.mapInArrow(run, widened(source.schema, f"`{text}` string"))
 
 
 def bpe_digest(documents: DataFrame, path: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of Arrow data that a Python step holds at once (one row may be longer).
 CHUNK_BYTES = 8 << 20
@@ -45,9 +46,26 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def widened(schema: StructType, more: str) -> StructType:
+    """The fields of ``schema`` and those of the DDL string ``more``."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kindred-checkpoints")
+    """The session's ``spark.checkpoint.dir``, or the folder given to its context; a local folder only for a local session without either."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "kindred-checkpoints")
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Near-duplicates by an exact join of shingle sets: every pair of texts whose Jaccard similarity reaches the bound.
+"""Near-duplicates of the pipeline: SimHash first, then an exact join of shingle sets for the pairs beyond its radius.
+
+Covering LSH over SimHash fingerprints links the texts that differ in few bits; its links are confirmed on whole texts.
+Fingerprints of pairs near the bound differ in more bits than tables can cover, so every pair of texts that these links
+have not joined, and whose Jaccard similarity reaches the bound, is found by an exact join.
 
 Shingles have one global order: the frequent ones of a sample last, the others by hash. Two sets of similarity t share a
 shingle among the first n - ceil(t * n) + 1 of each (a prefix), so only texts that meet in a prefix are candidates; sizes
@@ -16,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import simhash
 from .common import checkpointed, chunks, release, utf8
 from .components import stars
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED
 
 #: Words of a shingle, and the similarity as a fraction.
 WORDS, SHARE = 5, (4, 5)
@@ -30,9 +35,38 @@ BITS = 9
 SAMPLE, OFTEN, LISTED = 5000, 5, 100_000
 
 
+FACTORS = np.random.default_rng(5).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, ascending: of all its words where it has fewer, none where it has none.
+
+    A shingle's hash is a sum of its words' hashes, each times the odd factor of its place, and then mixed.
+    """
+    types: dict[bytes, int] = {}
+    split = [t.lower().split() for t in texts]
+    ids = np.array([types.setdefault(w, len(types)) for found in split for w in found], np.int64)
+    word = np.array([xxh64_intdigest(w, SEED) for w in types], np.uint64)
+    sizes = [len(found) for found in split]
+    flat = word[ids] if len(ids) else word
+    n = max(0, len(flat) - words + 1)
+    sums = np.zeros(n, np.uint64)
+    for j in range(words):
+        sums += flat[j : j + n] * FACTORS[j]
+    out, at = [], 0
+    for size, found in zip(sizes, split, strict=True):
+        if size >= words:
+            mixed = sums[at : at + size - words + 1]
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * FACTORS[63]
+            out.append(np.unique(mixed ^ (mixed >> np.uint64(29))).view(np.int64))
+        else:
+            out.append(np.array([xxh64_intdigest(b" ".join(found), SEED)] if found else [], np.uint64).view(np.int64))
+        at += size
+    return out
+
+
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Distinct shingle hashes, ascending."""
-    return np.unique(np.array(shingle_hashes(text, words), np.uint64)).view(np.int64)
+    return shingle_sets([text], words)[0]
 
 
 def _least(n, share):
@@ -100,7 +134,7 @@ def _frequent(heads: DataFrame, total: int, words: int) -> np.ndarray:
 
     def run(batches):
         for part in chunks(batches, 2 << 20):
-            found = [shingle_set(t, words) for t in utf8(part.column(0))]
+            found = shingle_sets(utf8(part.column(0)), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["h"])
 
     sample = heads.filter(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(max(1, total // SAMPLE))) == 0).select("text")
@@ -109,11 +143,11 @@ def _frequent(heads: DataFrame, total: int, words: int) -> np.ndarray:
 
 
 def _postings(heads: DataFrame, frequent: np.ndarray, words: int, share) -> DataFrame:
-    """(h, fp, n, i): the prefix of each text, with the size of its set."""
+    """(h, fp, n, i, root): the prefix of each text, with the size of its set and its component so far."""
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
-            sets = [shingle_set(t, words) for t in utf8(part.column(1))]
+            sets = shingle_sets(utf8(part.column(1)), words)
             first = [prefix(s, frequent, share) for s in sets]
             times = [len(p) for p in first]
             if sum(times):
@@ -121,28 +155,29 @@ def _postings(heads: DataFrame, frequent: np.ndarray, words: int, share) -> Data
                     [
                         pa.array(np.concatenate(first)), pa.array(np.repeat(np.asarray(part.column(0)), times)),
                         pa.array(np.repeat([len(s) for s in sets], times)), pa.array(np.concatenate([np.arange(k) for k in times])),
+                        pa.array(np.repeat(np.asarray(part.column(2)), times)),
                     ],
-                    ["h", "fp", "n", "i"],
+                    ["h", "fp", "n", "i", "root"],
                 )
 
-    return heads.select("fp", "text").mapInArrow(run, "h long, fp long, n long, i long")
+    return heads.select("fp", "text", "root").mapInArrow(run, "h long, fp long, n long, i long, root long")
 
 
-FOUND = ["u", "v", "h", "fp", "n", "i"]
+FOUND = ["u", "v", "h", "fp", "n", "i", "root"]
 
 
 def _batch(us, vs, passed) -> pa.RecordBatch:
     u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs))
-    rows = np.concatenate([np.empty((0, 4), np.int64), *passed])
+    rows = np.concatenate([np.empty((0, 5), np.int64), *passed])
     wide = [pa.concat_arrays([pa.array(x), pa.nulls(len(rows), pa.int64())]) for x in (u, v)]
     wide += [pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(np.ascontiguousarray(c))]) for c in rows.T]
     return pa.RecordBatch.from_arrays(wide, FOUND)
 
 
 def _met(postings: DataFrame, share, small: int) -> DataFrame:
-    """(u, v) candidates of small buckets and of the least member of each large one, whose rows (h, fp, n, i) are passed on.
+    """(u, v) candidates of different components in small buckets and with the least member of each large one.
 
-    A large bucket streams through: only its first rows are held.
+    The rows (h, fp, n, i, root) of a large bucket are passed on; it streams through, only its first rows are held.
     """
 
     def run(batches):
@@ -157,9 +192,11 @@ def _met(postings: DataFrame, share, small: int) -> DataFrame:
 
         def close(rows):
             if len(rows) > 1:
-                add(_pairs(rows[:, 1], rows[:, 2], rows[:, 3], share))
+                roots = rows[:, 4]
+                if (roots != roots[0]).any():
+                    add(_pairs(rows[:, 1], rows[:, 2], rows[:, 3], share, lambda i: roots[i + 1 :] != roots[i]))
 
-        least, open_ = None, np.empty((0, 4), np.int64)  # of a large bucket, its least row; the rows of one that may be small
+        least, open_ = None, np.empty((0, 5), np.int64)  # of a large bucket, its least row; the rows of one that may be small
         for part in batches:
             rows = np.concatenate([open_, np.stack([np.asarray(c, np.int64) for c in part.columns], 1)])
             open_ = rows[:0]
@@ -181,7 +218,7 @@ def _met(postings: DataFrame, share, small: int) -> DataFrame:
                             close(group)
                         continue
                     least = group[0]
-                ok = _possible(least[2], group[:, 2], least[3], group[:, 3], share) & (group[:, 1] != least[1])
+                ok = _possible(least[2], group[:, 2], least[3], group[:, 3], share) & (group[:, 4] != least[4])
                 add([(group[ok, 1], np.full(int(ok.sum()), least[1]))])
                 passed.append(group)
                 held += len(group)
@@ -196,9 +233,14 @@ def _met(postings: DataFrame, share, small: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in FOUND))
 
 
+def _labelled(rows: DataFrame, star: DataFrame) -> DataFrame:
+    """``rows`` with the least member of the component of each fp as root."""
+    return rows.join(star.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def _across(large: DataFrame, star: DataFrame, heads: DataFrame, share, block: int) -> DataFrame:
     """(u, v) candidates of different components in the large buckets; pairs of blocks are dealt out one by one."""
-    labelled = large.join(star.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = _labelled(large.select("h", "fp", "n", "i"), star)
     counts = labelled.groupBy("h").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("a"), F.max("root").alias("z"))
     rows = labelled.join(counts.filter("a < z").select("h", "blocks"), "h").withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = rows.join(heads.select("fp", "sketch"), "fp")
@@ -235,14 +277,10 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, words: int, share) -> DataFra
 
     def run(batches):
         for part in chunks(batches, 4 << 20):
-            sets: dict[int, np.ndarray] = {}
-            columns = [part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), utf8(part.column(3))]
-            good = []
-            for a, b, x, y in zip(*columns, strict=True):
-                for k, t in ((a, x), (b, y)):
-                    if k not in sets:
-                        sets[k] = shingle_set(t, words)
-                good.append(similar(sets[a], sets[b], share))
+            us, vs = part.column(0).to_pylist(), part.column(1).to_pylist()
+            texts = dict(zip(us + vs, utf8(part.column(2)) + utf8(part.column(3)), strict=True))
+            sets = dict(zip(texts, shingle_sets(list(texts.values()), words), strict=True))
+            good = [similar(sets[a], sets[b], share) for a, b in zip(us, vs, strict=True)]
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return checkpointed(pairs.join(u, "u").join(v, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"))
@@ -259,7 +297,7 @@ def near_duplicates(
 
     def run(batches):
         for part in chunks(batches, 2 << 20):
-            sets = [shingle_set(t, words) for t in utf8(part.column(1))]
+            sets = shingle_sets(utf8(part.column(1)), words)
             fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), part.column(1)],
@@ -272,15 +310,21 @@ def near_duplicates(
     rows = checkpointed(marked.select("id", "fp"))
     heads = checkpointed(marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("text").alias("text")))
     release(spark)
+    head = heads.select(F.col("fp").alias("head"), "text")
+    known = simhash.near_duplicates(head, "head", "text", words).filter("head != component_id")
+    pairs = checkpointed(known.select(F.greatest("head", "component_id").alias("u"), F.least("head", "component_id").alias("v")).distinct())
+    release(spark)
+    near = _confirmed(pairs, heads, words, share)
+    release(spark)
     frequent = _frequent(heads, heads.count(), words)
     # the candidates and, of large buckets, the rows
-    found = checkpointed(_met(_postings(heads, frequent, words, share), share, small))
+    found = checkpointed(_met(_postings(_labelled(heads, stars(near)), frequent, words, share), share, small))
     release(spark)
     first = found.filter(F.col("u").isNotNull()).select("u", "v").distinct()
-    edges = _confirmed(first, heads, words, share)
+    edges = near.union(_confirmed(first, heads, words, share))
     release(spark)
     star = stars(edges)
-    rest = checkpointed(_across(found.filter(F.col("h").isNotNull()).select("h", "fp", "n", "i"), star, heads, share, block).distinct())
+    rest = checkpointed(_across(found.filter(F.col("h").isNotNull()), star, heads, share, block).distinct())
     more = _confirmed(rest.join(first, ["u", "v"], "left_anti"), heads, words, share)
     release(spark)
     star = stars(edges.union(more)).select(F.col("u").alias("fp"), F.col("v").alias("root"))

@@ -19,6 +19,8 @@ from .components import stars
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints of a bucket that one block holds; larger buckets are compared block by block, in separate tasks.
 BLOCK = 4096
+#: Fewer fingerprints than this can be frequent: those with more than one in FREQUENT of all rows.
+FREQUENT = 2048
 #: For each byte, its bits in eight lanes of a 64-bit number.
 LANES = np.array([sum((value >> j & 1) << 8 * j for j in range(8)) for value in range(256)], np.uint64)
 
@@ -175,7 +177,7 @@ def _across(blocks: DataFrame, radius: int) -> DataFrame:
     """Links between the blocks of one bucket; each pair of blocks is a row of its own, dealt out evenly."""
     a = blocks.select("t", "k", "i", "fps")
     b = blocks.select("t", "k", F.col("i").alias("j"), F.col("fps").alias("others"))
-    pairs = a.join(b, ["t", "k"]).filter(F.col("i") < F.col("j")).select("fps", "others").repartition(F.rand(1))
+    pairs = a.join(b, ["t", "k"]).filter(F.col("i") < F.col("j")).repartition("t", "k", "i", "j").select("fps", "others")
 
     def run(batches):
         for part in batches:
@@ -196,12 +198,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     fingerprint before anything is compared.
     """
     rows = checkpointed(fingerprints(df, key, text, words).withColumnRenamed(key, "id"))
-    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    counted = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    least = counted.select("fp", "least")
     star = stars(links(least.select("fp"), radius, block)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = checkpointed(star.union(star.select(F.col("root").alias("fp"), "root").distinct()))
     of_root = checkpointed(nodes.join(least, "fp").groupBy("root").agg(F.min("least").alias("component")))
     joined = nodes.join(of_root, "root").select("fp", "component")
     of_fp = checkpointed(least.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
-    return rows.join(of_fp, "fp").select(
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = [r["fp"] for r in counted.filter(F.col("n") * FREQUENT > total).select("fp").collect()]
+    if often:  # copies by the million are joined where they lie
+        hot = F.col("fp").isin(often)
+        joined = rows.filter(hot).join(F.broadcast(of_fp.filter(hot)), "fp").unionByName(rows.filter(~hot).join(of_fp.filter(~hot), "fp"))
+    else:
+        joined = rows.join(of_fp, "fp")
+    return joined.select(
         F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, strings
+from .common import chunks, strings, widened
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -311,8 +311,7 @@ def score(df: DataFrame, model: Model, name: str = "score", text: str = "text")
             scores = shared.value.score(strings(part.column(at)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*columns, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, `{name}` double")
+    return source.mapInArrow(run, widened(source.schema, f"`{name}` double"))
 
 
 #: Passages of two words: an insult among thousands of words is seen as well as in a short text.
@@ -334,7 +333,7 @@ def classifier(label: str, fold: int, modulus: int, threshold: float, config: Co
         )
 
     def learned(documents: DataFrame, labels: DataFrame) -> DataFrame:
-        """All columns of ``documents`` and ``score``."""
+        """All columns of ``documents`` and ``score``, which replaces a column of that name."""
         texts, y, share = sample(documents, labels, label, config, "doc_id", "text", ~held_out(F.col("doc_id")))
         return score(documents, fit(texts, y, share, config))
 

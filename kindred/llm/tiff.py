@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, utf8, widened
 
 #: Fixed values of the TIFF 6.0 format: compression schemes and field sizes.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
@@ -362,10 +362,8 @@ def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 [*names, *own],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(
-        run, f"{schema}, page_index int, width int, height int, samples int, bits int, pixels binary, page_feature string, page_error string"
-    )
+    found = "page_index int, width int, height int, samples int, bits int, pixels binary, page_feature string, page_error string"
+    return source.mapInArrow(run, widened(source.schema, found))
 
 
 def media_digest(documents: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -79,6 +80,42 @@ def test_run_and_empty_documents(spark, folder, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_extra_columns_with_clashing_names_stay(spark, folder):
+    names = ["score", "k1", "k2", "head", "copy_number", "kept", "n_bytes", "n_removed", "removed_spans", "spans_s", "s", "e", "found", "row", "body", "held_row", "key_a", "fp", "c0", "key"]
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(60)
+    docs = spark.createDataFrame(docs.collect(), docs.schema).withColumns({c: F.lit(f"mine {c}") for c in names})
+    docs = docs.withColumn("of.id", F.col("doc_id"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert rows and all(r[c] == f"mine {c}" for r in rows for c in names) and all(r["of.id"] == r.doc_id for r in rows), name
+    assert P.STAGES[-1][1](spark, docs, folder[0]).count() == 60
+
+
+def test_ids_of_several_texts_and_null_ids_are_separate_documents(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(rng.choice("abcdefghijkl") * rng.randint(1, 9) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, c), (None, c), (7, None), (8, ""), (9, d), (9, d)]
+    found = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(1, a), (5, b), (None, c), (7, None), (9, d)]))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from kindred.llm import common
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})()
+
+    with pytest.raises(RuntimeError):
+        common.checkpoint_folder(Session())
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     import shutil
 
