@@ -43,12 +43,21 @@ def rank_ignoring_nulls(pairs: DataFrame, score: str, q: str = "q", t: str = "t"
     return pairs.withColumns({f"{score}_rank": F.when(known, rank), f"{score}_gap": F.when(known, F.max(score).over(w) - F.col(score))})
 
 
-def average_quantile(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """Average rank of a value in its group over the group's size: ties share the mean of their places."""
-    w = Window.partitionBy(group)
-    ties = F.count("*").over(Window.partitionBy(group, value))
-    rank = F.rank().over(w.orderBy(value))
-    return rows.withColumn(f"{value}_quantile", (rank + (ties - 1) / 2.0) / F.count("*").over(w))
+def average_quantile(rows: DataFrame, value: str, group: str, steps: int = 1000) -> DataFrame:
+    """Average rank of a value in its group over the group's size: ties share the mean of their places.
+
+    Values are counted, then the counts summed in ``steps`` buckets to the unit and between them, so no task holds a group.
+    """
+    bucket = F.floor(F.col(value) * steps)
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("_n")).withColumn("_b", bucket)
+    coarse = counts.groupBy(group, "_b").agg(F.sum("_n").alias("_m"))
+    by_group = Window.partitionBy(group)
+    before = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select(group, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_below"), F.sum("_m").over(by_group).alias("_all"))
+    inside = Window.partitionBy(group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(coarse, [group, "_b"])
+    quantile = (F.col("_below") + F.col("_in") + (F.col("_n") + 1) / 2.0) / F.col("_all")
+    return rows.join(placed.select(group, value, quantile.alias(f"{value}_quantile")), [group, value])
 
 
 def top_margin(pairs: DataFrame, q: str = "q", t: str = "t", p: str = "p") -> DataFrame:

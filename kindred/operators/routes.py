@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.functions import text as T
+from kindred.operators import kernel as KERNEL
 
 ROUTE = ("source1_entity_id", "target_id", "route", "route_score")
 
@@ -21,6 +22,22 @@ def exact(queries: DataFrame, targets: DataFrame, fields: tuple[str, ...], name:
     return q.join(t, ["country", *fields]).select("source1_entity_id", "target_id", F.lit(name).alias("route"), F.lit(1.0).alias("route_score"))
 
 
+def first_exact(queries: DataFrame, targets: DataFrame, field: str, name: str, k: int = 100) -> DataFrame:
+    """Pairs of one country with an equal, non-blank field: the first ``k`` targets by id of each source.
+
+    All scores are one and ties go by id, so these are the pairs that a cut of the ranked route at ``k`` keeps; a value
+    that many targets share is cut before the join. The join compares hashes, and then the values.
+    """
+    key = F.xxhash64("country", field)
+    w = Window.partitionBy("key", "country", field, F.left("entity_id", F.lit(2))).orderBy("entity_id")
+    t = targets.filter(F.col(field) != "").select("entity_id", "country", field, key.alias("key"))
+    t = t.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    t = t.select(F.col("entity_id").alias("target_id"), F.col("country").alias("tc"), F.col(field).alias("tv"), "key")
+    q = queries.filter(F.col(field) != "").select(F.col("entity_id").alias("source1_entity_id"), F.col("country").alias("qc"), F.col(field).alias("qv"), key.alias("key"))
+    same = q.join(t, "key").filter((F.col("qc") == F.col("tc")) & (F.col("qv") == F.col("tv")))
+    return same.select("source1_entity_id", "target_id", F.lit(name).alias("route"), F.lit(1.0).alias("route_score"))
+
+
 def token_table(records: DataFrame) -> DataFrame:
     """(entity_id, country, field, token): distinct tokens of three characters or more with a letter."""
     both = F.explode(
@@ -95,48 +112,68 @@ def token_candidates(queries: DataFrame, targets: DataFrame, owners: DataFrame,
     selected = rare_keys(query_tokens, token_stats(target_tokens, owners), max_df, keys)
     hits = rare_hits(selected, target_tokens)
     routes = [
-        exact(queries, targets, ("n",), "exact_name"), exact(queries, targets, ("a",), "exact_address"), rare_routes(hits),
+        first_exact(queries, targets, "n", "exact_name", k), first_exact(queries, targets, "a", "exact_address", k), rare_routes(hits),
         numeric_route(hits, queries, targets),
     ]
     return rank_routes(reduce(DataFrame.unionByName, [r.select(*ROUTE) for r in routes]), k)
 
 
-def gram_weights(records: DataFrame, column: str, n: int, idf: DataFrame) -> DataFrame:
-    """(entity_id, country, gram, weight): TF-IDF of character n-grams with unit length for each record."""
+def grams(text: Column, n: int, analyzer: str = "char") -> Column:
+    """Terms of a text, repeats included: n-grams of characters, of words padded with spaces (char_wb), or n-grams of words."""
+    if analyzer == "char":
+        return T.char_grams(text, n)
+    if analyzer == "word":
+        ts = T.tokens(text)
+        runs = F.transform(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: F.array_join(F.slice(ts, i, n), " "))
+        return F.when(F.size(ts) >= n, runs).otherwise(F.array().cast("array<string>"))
+    if analyzer != "char_wb":
+        raise ValueError(f"unknown analyzer {analyzer!r}")
+    padded = F.transform(T.tokens(text), lambda t: F.concat(F.lit(" "), t, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda t: F.when(F.length(t) >= n, T.char_grams(t, n)).otherwise(F.array(t))))
+
+
+def gram_vectors(records: DataFrame, column: str, n: int, idf: DataFrame, analyzer: str = "char", sublinear: bool = False) -> DataFrame:
+    """(id, country, terms, weights): TF-IDF with unit length for each record that has a known gram; terms are numbers."""
     counts = (
-        records.select("entity_id", "country", F.explode(T.char_grams(F.col(column), n)).alias("gram"))
+        records.select("entity_id", "country", F.explode(grams(F.col(column), n, analyzer)).alias("gram"))
         .groupBy("entity_id", "country", "gram")
         .agg(F.count("*").alias("tf"))
     )
-    raw = counts.join(idf, ["country", "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id")))
-    return raw.select("entity_id", "country", "gram", (F.col("w") / norm).alias("weight"))
+    tf = F.log(F.col("tf")) + 1.0 if sublinear else F.col("tf")
+    raw = counts.join(idf, ["country", "gram"]).withColumn("w", tf * F.col("idf"))
+    rows = raw.groupBy("entity_id", "country").agg(F.collect_list(F.struct("term", "w")).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.select(
+        F.col("entity_id").alias("id"), "country", F.left("entity_id", F.lit(2)).alias("source"), F.col("x.term").alias("terms"),
+        F.transform("x.w", lambda v: v / F.col("norm")).alias("weights"),
+    )
+
 
+def gram_idf(records: DataFrame, column: str, n: int, min_df: int = 2, max_features: int = 200_000, analyzer: str = "char", max_share: float = 1.0) -> DataFrame:
+    """(country, gram, idf, term), smooth, of each country's ``max_features`` grams with the most occurrences; ties by gram.
 
-def gram_idf(records: DataFrame, column: str, n: int, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
-    """(country, gram, idf), smooth, of each country's ``max_features`` grams with the most occurrences; ties by gram."""
+    Grams of fewer than ``min_df`` texts or of more than ``max_share`` of them are none. ``term`` numbers a country's grams.
+    """
     texts = records.filter(F.col(column) != "")
-    grams = texts.select("entity_id", "country", F.explode(T.char_grams(F.col(column), n)).alias("gram"))
-    per_text = grams.groupBy("country", "gram", "entity_id").agg(F.count("*").alias("tf"))
+    found = texts.select("entity_id", "country", F.explode(grams(F.col(column), n, analyzer)).alias("gram"))
+    per_text = found.groupBy("country", "gram", "entity_id").agg(F.count("*").alias("tf"))
     stats = per_text.groupBy("country", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     sizes = texts.groupBy("country").agg(F.count("*").alias("texts"))
+    stats = stats.join(sizes, "country").filter(F.col("df") <= F.col("texts") * max_share)
     w = Window.partitionBy("country").orderBy(F.desc("total"), "gram")
-    kept = stats.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max_features)
+    kept = stats.withColumn("term", F.row_number().over(w)).filter(F.col("term") <= max_features)
     idf = F.log((1.0 + F.col("texts")) / (1.0 + F.col("df"))) + 1.0
-    return kept.join(sizes, "country").select("country", "gram", idf.alias("idf"))
+    return kept.select("country", "gram", idf.alias("idf"), F.col("term").cast("long").alias("term"))
 
 
-def gram_route(queries: DataFrame, targets: DataFrame, fit: DataFrame, column: str = "n", n: int = 3, k: int = 100, name: str = "name_char3", min_df: int = 2, min_score: float = 0.0) -> DataFrame:
-    """Cosine top ``k`` for each query record and target source: postings joined on grams, positive scores only.
-
-    Scores are rounded to nine digits before they are ranked, so that the order of additions does not break ties.
-    """
-    idf = gram_idf(fit, column, n, min_df)
-    q = gram_weights(queries, column, n, idf).select(F.col("entity_id").alias("source1_entity_id"), "country", "gram", F.col("weight").alias("wq"))
-    t = gram_weights(targets, column, n, idf).select(F.col("entity_id").alias("target_id"), "country", "gram", F.col("weight").alias("wt"))
-    scored = q.join(t, ["country", "gram"]).groupBy("source1_entity_id", "target_id").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("route_score"))
-    scored = scored.filter((F.col("route_score") > 0) & (F.col("route_score") >= min_score))
-    return rank_routes(scored.withColumn("route", F.lit(name)), k)
+def gram_route(
+    queries: DataFrame, targets: DataFrame, fit: DataFrame, column: str = "n", n: int = 3, k: int = 100, name: str = "name_char3", min_df: int = 2,
+    min_score: float = 0.0, analyzer: str = "char", sublinear: bool = False, max_share: float = 1.0, sizes: tuple[int, int] = (KERNEL.QUERIES, KERNEL.TARGETS),
+) -> DataFrame:
+    """Cosine top ``k`` for each query record and target source, positive scores of ``min_score`` or more, by blocks."""
+    idf = gram_idf(fit, column, n, min_df, analyzer=analyzer, max_share=max_share)
+    q, t = (gram_vectors(r, column, n, idf, analyzer, sublinear) for r in (queries, targets))
+    found = KERNEL.top_products(q.drop("source"), t, "country", KERNEL.sparse, k, sizes).filter(F.col("score") >= min_score)
+    return found.select(F.col("q").alias("source1_entity_id"), F.col("t").alias("target_id"), F.lit(name).alias("route"), F.col("score").alias("route_score"), F.col("rank").alias("route_rank"))
 
 
 def key_blocks(queries: DataFrame, targets: DataFrame, key: Column, cap: int = 20) -> DataFrame:
@@ -148,21 +185,31 @@ def key_blocks(queries: DataFrame, targets: DataFrame, key: Column, cap: int = 2
     return sized(queries, "source1_entity_id", "block_queries").join(t, ["country", "key"])
 
 
-def dense_route(queries: DataFrame, targets: DataFrame, k: int = 20, group: str = "label") -> DataFrame:
-    """Top ``k`` by inner product of unit vectors within a group. Target vectors of a group are compared in blocks."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    q = queries.select(F.col("vec_id").alias("q"), group, unit(F.col("embedding")).alias("vq"))
-    t = targets.select(F.col("vec_id").alias("t"), group, unit(F.col("embedding")).alias("vt"))
-    dot = F.aggregate(F.zip_with("vq", "vt", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "t")
-    pairs = q.join(t, group).filter("q <> t").select("q", "t", F.round(dot, 9).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def dense_route(queries: DataFrame, targets: DataFrame, k: int = 20, group: str = "label", sizes: tuple[int, int] = (KERNEL.QUERIES, KERNEL.TARGETS)) -> DataFrame:
+    """(q, t, score, rank): top ``k`` by positive cosine within a group, never of a row with itself, by blocks."""
+    side = lambda df: df.select(F.col("vec_id").alias("id"), group, F.col("embedding").alias("vector"))
+    return KERNEL.top_products(side(queries), side(targets).withColumn("source", F.lit("")), group, KERNEL.dense, k, sizes)
+
 
+def sorted_neighbours(records: DataFrame, ranges: int = 64) -> DataFrame:
+    """Each record with the one before it in its country by (n, a, entity_id).
 
-def sorted_neighbours(records: DataFrame) -> DataFrame:
-    """Each record with the one before it in its country by (n, a, entity_id)."""
-    w = Window.partitionBy("country").orderBy("n", "a", "entity_id")
-    return records.select("*", F.lag("n").over(w).alias("prev_n"), F.lag("a").over(w).alias("prev_a"), F.lag("entity_id").over(w).alias("prev_id"))
+    Records are sorted in at most ``ranges`` ranges of (country, first 100 characters of n), cut at values of a sample, and
+    the last record of a range is handed to the next one. Records that agree in all of these meet in one range.
+    """
+    key = F.struct("country", F.left("n", F.lit(100)).alias("n"))
+    sample = records.select(key.alias("k")).orderBy(F.xxhash64("entity_id")).limit(ranges * 20).select("k.*").distinct().orderBy("country", "n").collect()
+    cuts = sample[:: max(1, -(-len(sample) // ranges))]
+    above = [F.struct(F.lit(r["country"]).alias("country"), F.lit(r["n"]).alias("n")) <= key for r in cuts]
+    rows = records.withColumn("range", sum((c.cast("int") for c in above), F.lit(0)))
+    order = ["country", "n", "a", "entity_id"]
+    w = Window.partitionBy("range").orderBy(*order)
+    prior = rows.withColumn("prior", F.lag(F.struct(*order)).over(w))
+    ends = rows.groupBy("range").agg(F.max(F.struct(*order)).alias("end"))  # one row for each range
+    handed = ends.select("range", F.last("end", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("handed"))
+    joined = prior.join(F.broadcast(handed), "range").withColumn("prior", F.coalesce("prior", "handed"))
+    prev = F.when(F.col("prior.country") == F.col("country"), F.col("prior"))
+    return joined.select(*records.columns, prev["n"].alias("prev_n"), prev["a"].alias("prev_a"), prev["entity_id"].alias("prev_id"))
 
 
 def evaluate(candidates: DataFrame, folds: DataFrame, pairs: DataFrame) -> DataFrame:
