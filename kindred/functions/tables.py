@@ -30,6 +30,8 @@ INDIAN_STATES = {
     "or": "odisha", "orissa": "odisha", "br": "bihar", "jh": "jharkhand", "cg": "chhattisgarh", "ct": "chhattisgarh", "as": "assam", "uk": "uttarakhand",
     "ut": "uttarakhand", "hp": "himachalpradesh", "ga": "goa", "jk": "jammukashmir", "ch": "chandigarh", "py": "puducherry", "pondicherry": "puducherry",
 }
+#: Codes that are also everyday words stand for no state.
+AMBIGUOUS_CODES = tuple("de la in me or hi id ok al co as oh ne pa ga ms ch no".split())
 STATE_PHRASES = {
     "tamil nadu": "tamilnadu", "uttar pradesh": "uttarpradesh", "west bengal": "westbengal", "madhya pradesh": "madhyapradesh",
     "andhra pradesh": "andhrapradesh", "himachal pradesh": "himachalpradesh", "jammu and kashmir": "jammukashmir", "jammu kashmir": "jammukashmir",
