@@ -71,6 +71,31 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.withColumn("m", F.round("macro_f05", 12)).orderBy(F.desc("m"), F.desc("threshold")).limit(1).drop("m")
 
 
+def joint_threshold(scored: DataFrame, queries: DataFrame, pairs: Sequence[int], steps: Sequence[int]) -> DataFrame:
+    """(pair_threshold, empty_threshold, macro_f05) for thresholds in thousandths, the second one not below the first.
+
+    A record's pairs of at least the first threshold count if its best pair reaches the second. Each pair is counted once
+    for each record and level, and a record's gain holds up to the level of its best pair, so nothing is made for each
+    pair and both thresholds. ``scored`` has q, t, p, y; ``queries`` q and actual.
+    """
+    spark = scored.sparkSession
+    level = F.size(F.filter(F.array(*[F.lit(g) for g in pairs]), lambda g: F.round(F.col("p") * 1000, 6) >= g))
+    by_level = scored.withColumn("level", level).filter("level > 0").groupBy("q", "level").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    order = Window.partitionBy("q").orderBy(F.desc("level"))
+    until = F.coalesce(F.lead("level").over(order), F.lit(0))
+    sums = order.rowsBetween(Window.unboundedPreceding, 0)
+    counted = by_level.select("q", "level", F.sum("n").over(sums).alias("predicted"), F.sum("k").over(sums).alias("tp"), until.alias("until"))
+    top = scored.groupBy("q").agg(F.round(F.max("p") * 1000, 6).alias("top"))
+    gain = f05(F.col("tp"), F.col("predicted"), F.col("actual")) - F.when(F.col("actual") == 0, 1.0).otherwise(0.0)
+    gains = counted.join(queries, "q").join(top, "q").withColumn("reach", F.size(F.filter(F.array(*[F.lit(g) for g in steps]), lambda g: F.col("top") >= g)))
+    gains = gains.select(F.explode(F.sequence(F.col("until") + 1, F.col("level"))).alias("at"), "reach", gain.alias("gain"))
+    total = gains.groupBy("at", "reach").agg(F.sum("gain").alias("gain"))  # at most one row for two thresholds
+    base = queries.agg(F.count("*").alias("n"), F.count_if(F.col("actual") == 0).alias("empty"))
+    grid = spark.createDataFrame([(i + 1, j + 1, a / 1000, b / 1000) for i, a in enumerate(pairs) for j, b in enumerate(steps) if b >= a], "at int, step int, pair_threshold double, empty_threshold double")
+    found = grid.join(F.broadcast(total), "at", "left").groupBy("pair_threshold", "empty_threshold").agg(F.sum(F.when(F.col("reach") >= F.col("step"), F.col("gain")).otherwise(0.0)).alias("gain"))
+    return found.join(F.broadcast(base)).select("pair_threshold", "empty_threshold", ((F.col("empty") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).alias("macro_f05"))
+
+
 def decide(scored: DataFrame, rule: str, threshold: float, other: float = 0.0, cap: int = 5) -> DataFrame:
     """Pairs that a rule accepts: global, salvage, two_source, cap or margin. Ties by target id throughout.
 
@@ -95,12 +120,19 @@ def decide(scored: DataFrame, rule: str, threshold: float, other: float = 0.0, c
     return scored.withColumn("accepted", accept).filter("accepted").drop("accepted")
 
 
-def expected_prefix(scored: DataFrame, limit: int = 20, empty_bonus: float = 0.0) -> DataFrame:
+def shifted(p: Column, bias: float, clip: float = 1e-6) -> Column:
+    """Probabilities moved by ``bias`` in log odds, after a clip."""
+    kept = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
+    return 1 / (1 + F.exp(-(F.log(kept / (1 - kept)) + bias)))
+
+
+def expected_prefix(scored: DataFrame, limit: int = 20, empty_bonus: float = 0.0, bias: float = 0.0) -> DataFrame:
     """The prefix of each record's pairs by score that maximises expected F0.5; the shorter one of a tie.
 
     The expectation takes the sum of p as the number of links. The empty prefix is worth the chance of no link,
-    prod(1 - p), plus ``empty_bonus``.
+    prod(1 - p), plus ``empty_bonus``. ``bias`` moves the scores in log odds first.
     """
+    scored = scored.withColumn("p", shifted(F.col("p"), bias)) if bias else scored
     w = Window.partitionBy("q").orderBy(F.desc("p"), "t")
     ranked = scored.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -138,6 +170,49 @@ def ownership_variant(claims: DataFrame, variant: str, margin: float = 0.02, flo
     return rows.filter(keep).drop("place", "best", "lead")
 
 
+def owned_units(claims: DataFrame, units: DataFrame) -> DataFrame:
+    """Claims of each unit's best record: ``units`` (t, unit) makes copies of a target one unit; others are their own.
+
+    A unit goes to the record with its highest score, the least record id of a tie, and all its claims on the unit stay.
+    """
+    rows = claims.join(units, "t", "left").withColumn("unit", F.coalesce("unit", F.concat(F.lit("t:"), "t")))
+    best = F.min_by("q", F.struct((-F.col("p")).alias("less"), "q")).over(Window.partitionBy("unit"))
+    return rows.withColumn("best", best).filter("q = best").select("q", "t", "p")
+
+
+def cross_fitted_drop(claims: DataFrame, truth: DataFrame, queries: DataFrame, margins: Sequence[float]) -> DataFrame:
+    """(half, margin, macro_f05): the margin under which contested targets are dropped, chosen on each half of them.
+
+    Targets are halved by the parity of their SHA-256. On one half the margin with the highest macro F0.5 (the smaller of
+    a tie) is chosen, and it is reported with its score on the other half, where it is to be applied.
+    """
+    half = F.pmod(F.conv(F.substring(F.sha2("t", 256), 1, 8), 16, 10).cast("long"), F.lit(2)).cast("int")
+    best, kept = None, {}
+    for m in margins:
+        rows = ownership_variant(claims, "drop_close", m).withColumn("half", half)
+        for h in (0, 1):
+            scores = entity_scores(rows.filter(F.col("half") == h), truth.filter(half == h), queries)
+            kept[m, h] = scores.agg(F.avg("f05").alias("f")).select(F.lit(h).alias("half"), F.lit(float(m)).alias("margin"), F.round("f", 12).alias("f"))
+    table = reduce(DataFrame.unionByName, kept.values())  # a row for each margin and half
+    best = table.groupBy("half").agg(F.min_by("margin", F.struct((-F.col("f")).alias("less"), "margin")).alias("margin"))
+    other = best.select((1 - F.col("half")).alias("half"), "margin")
+    return other.join(table, ["half", "margin"]).select("half", "margin", F.col("f").alias("macro_f05"))
+
+
+def hard_pairs(scored: DataFrame, threshold: float = 0.7, low: float = 0.2, high: float = 0.95) -> DataFrame:
+    """Pairs to look at again: false positives and negatives at ``threshold`` and all between ``low`` and ``high``, with the reason."""
+    p, y = F.col("p"), F.col("y")
+    reason = F.when((y == 0) & (p >= threshold), "false_positive").when((y == 1) & (p < threshold), "false_negative").when((p >= low) & (p <= high), "uncertain")
+    return scored.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
+def stack_overrides(chosen: DataFrame, stages: Sequence[DataFrame]) -> DataFrame:
+    """(q, t) after several tables of overrides (q, t, keep), one after another in the order given."""
+    for overrides in stages:
+        chosen = apply_overrides(chosen, overrides)
+    return chosen
+
+
 def complete_sources(chosen: DataFrame, scored: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Adds to records with targets of one source only the best target of the other one, if it has ``threshold`` and is free.
 
@@ -161,13 +236,13 @@ def add_unclaimed(chosen: DataFrame, extra: DataFrame, floor: float = 0.8) -> Da
 def expand_copies(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """Gives unclaimed exact copies of a claimed target (country, n, a null-safe) to its owner.
 
-    The owner of a group of copies is the claim of its least target, then the highest p, then the least record id.
+    Claims are taken by target, then by falling p, then by record: the first claim of a group of copies has them all.
     """
     group = F.xxhash64("country", "n", "a")
     keyed = targets.select(F.col("entity_id").alias("t"), "country", "n", "a", group.alias("g"))
     claims = chosen.select("q", "t", "p").join(keyed, "t")
-    w = Window.partitionBy("g", "country", "n", "a").orderBy("t", F.desc("p"), "q")
-    owners = claims.withColumn("place", F.row_number().over(w)).filter("place = 1").select("g", "country", "n", "a", "q", "p")
+    first = F.min(F.struct("t", (-F.col("p")).alias("less"), "q")).alias("x")
+    owners = claims.groupBy("g", "country", "n", "a").agg(first).select("g", "country", "n", "a", "x.q", (-F.col("x.less")).alias("p"))
     o, k = owners.alias("o"), keyed.join(chosen.select("t").distinct(), "t", "left_anti").alias("k")
     same = [F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("country", "n", "a")]
     copies = k.join(o, (F.col("o.g") == F.col("k.g")) & reduce(lambda a, b: a & b, same)).select("o.q", "k.t", "o.p")

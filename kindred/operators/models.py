@@ -102,6 +102,32 @@ def rank_auc(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return local.agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
+def _curve(rows: DataFrame, p: str, y: str, falling: bool, steps: int = 1000) -> DataFrame:
+    """(score, pos, neg, cum_pos, cum_neg): running counts by distinct score, summed in ``steps`` buckets and between them."""
+    by_score = rows.groupBy(F.col(p).alias("score")).agg(F.sum(F.col(y)).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
+    by_score = by_score.withColumn("b", F.floor(F.col("score") * steps))
+    order = (lambda c: F.desc(c)) if falling else (lambda c: F.asc(c))
+    ahead = Window.orderBy(order("b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    coarse = by_score.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    coarse = coarse.select("b", F.coalesce(F.sum("bp").over(ahead), F.lit(0.0)).alias("before_pos"), F.coalesce(F.sum("bn").over(ahead), F.lit(0.0)).alias("before_neg"))
+    w = Window.partitionBy("b").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, 0)
+    held = by_score.withColumns({"cp": F.sum("pos").over(w), "cn": F.sum("neg").over(w)}).join(coarse, "b")
+    return held.select("score", "pos", "neg", (F.col("before_pos") + F.col("cp")).alias("cum_pos"), (F.col("before_neg") + F.col("cn")).alias("cum_neg"))
+
+
+def ks_statistic(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """The greatest distance between the distributions of the scores of both classes."""
+    curve = _curve(rows, p, y, False)
+    total = curve.agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+    return curve.join(F.broadcast(total)).agg(F.max(F.abs(F.col("cum_pos") / F.nullif("tp", F.lit(0.0)) - F.col("cum_neg") / F.nullif("tn", F.lit(0.0)))).alias("ks"))
+
+
+def average_precision(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """Precision at each distinct score, weighted by the share of positives that it adds."""
+    curve = _curve(rows, p, y, True)
+    return curve.agg((F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))) / F.nullif(F.sum("pos"), F.lit(0.0))).alias("ap"))
+
+
 def fellegi_sunter(rows: DataFrame, features: Sequence[str], iterations: int = 60, start: float = 0.15, smooth: float = 1e-3) -> DataFrame:
     """(pattern columns, n, match_probability): EM over the counts of agreement patterns.
 
