@@ -9,7 +9,8 @@ A text takes the softmax of its highest passage, rescaled by a logistic calibrat
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,7 @@ class Config:
     rate: float = 0.5
     batch: int = 64
     rows: int = 2000
-    sample_bytes: int = 24 << 20
+    sample_bytes: int = 16 << 20
     calibrate: float = 0.25
     clean: float = 0.999
     same: bool = False
@@ -99,15 +100,25 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Corpus:
-    """Passages as index arrays: word types of each, and the buckets of each type."""
+    """Passages as index arrays: word types of each, and the buckets of each type. Words are numbered as they come, so that
+    no list of them is held, and the types' buckets are made a few thousand types at a time."""
 
-    def __init__(self, spans: list[list[str]], config: Config):
+    def __init__(self, texts: Iterable[list[str]], config: Config):
         types: dict[str, int] = {}
-        self.words = np.array([types.setdefault(w, len(types)) for s in spans for w in s], np.int32)
-        self.sizes = np.array([len(s) for s in spans], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        buckets, self.type_starts = word_buckets(list(types), config)
-        self.buckets, self.type_sizes = buckets.astype(np.int32), np.diff(np.r_[self.type_starts, len(buckets)])
+        flat, sizes, owner = array("i"), array("i"), array("i")
+        for i, words in enumerate(texts):
+            for a, b in passages(len(words), config.passage):
+                flat.extend([types.setdefault(w, len(types)) for w in words[a:b]])
+                sizes.append(b - a)
+                owner.append(i)
+        self.words, self.sizes, self.owner = (np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (flat, sizes, owner))
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        every = list(types)
+        parts = [word_buckets(every[i : i + 4096], config) for i in range(0, len(every), 4096)]
+        self.buckets = np.concatenate([np.empty(0, np.int32), *[b.astype(np.int32) for b, _ in parts]])
+        counts = [np.diff(np.r_[starts, len(b)]) for b, starts in parts]
+        self.type_sizes = np.concatenate([np.empty(0, np.int64), *counts])
+        self.type_starts = np.cumsum(self.type_sizes) - self.type_sizes
 
     def raw(self, state) -> np.ndarray:
         """Log odds of each passage."""
@@ -242,18 +253,13 @@ def fit(texts: list[str], labels: list[int], share: dict[int, float], config: Co
     aside = rng.random(len(y)) < config.calibrate
     if min((y[aside] == c).sum() for c in (0, 1)) < 10:
         aside[:] = False
-    spans, owner = [], []
-    for i in np.flatnonzero(~aside):
-        words = tokens(texts[i], config)
-        for a, b in passages(len(words), config.passage):
-            spans.append(words[a:b])
-            owner.append(i)
-    owner = np.array(owner, np.int64)
+    used = np.flatnonzero(~aside)
+    corpus = Corpus((tokens(texts[i], config) for i in used), config)
+    owner = used[corpus.owner]
     label = y[owner]
     if len(set(label.tolist())) < 2:
         rate = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
         return Model(config, np.zeros(config.buckets), float(np.log(rate / (1 - rate))))
-    corpus = Corpus(spans, config)
     if config.passage:
         label = _shown(corpus, owner, label, config, rng)
     model = Model(config, *_table(train(corpus, np.arange(len(label)), label, config)))
