@@ -8,12 +8,13 @@ from kindred.functions import similarity as S
 from kindred.functions import text as T
 from kindred.operators import checks as C
 from kindred.operators import decisions as D
+from kindred.operators import features as V
 from kindred.operators import models as M
 from kindred.operators import ranking as K
 from kindred.operators import rescue as X
 from kindred.operators import routes as R
 from kindred.operators import slices as L
-from kindred.plans.catalog import CHOSEN, CLAIMS, F05, RECORDS, ROUTES, _chosen, r6, register
+from kindred.plans.catalog import CHOSEN, CLAIMS, F05, RECORDS, ROUTES, TOP, _chosen, grams_sql, r6, register
 
 # Guards
 
@@ -386,3 +387,131 @@ def l_ks_statistic(w):
 @register("l_average_precision", """SELECT round(sum(pos * cum / (cum + neg_cum)) / any_value(total), 6) AS ap FROM (SELECT pos, sum(pos) OVER w AS cum, sum(neg) OVER w AS neg_cum, sum(pos) OVER () AS total FROM (SELECT p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM claims GROUP BY 1) WINDOW w AS (ORDER BY p DESC))""", CLAIMS)
 def l_average_precision(w):
     return M.average_precision(w.claims).withColumn("ap", r6("ap"))
+
+
+# Stage-two features, over short business records that are made of parts by arithmetic on their keys
+
+PART_RECORDS = r"""
+raw2 AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END || p_partkey AS entity_id, p_brand AS country, p_partkey AS k, p_size,
+  p_name || ' ' || lower(p_type) || CASE p_partkey % 4 WHEN 0 THEN ' ltd' WHEN 1 THEN ' services inc' WHEN 2 THEN '.com' ELSE '' END AS business_name,
+  CASE WHEN p_partkey % 5 = 3 THEN '' ELSE p_size || '-' || (p_partkey % 17) || CASE p_partkey % 5 WHEN 0 THEN ' Main St New York' WHEN 1 THEN ' park rd Calcutta WB' WHEN 2 THEN ' 5 ave NY' ELSE ' oak ln bombay mh' END END AS business_address FROM part),
+d0 AS (SELECT *, trim(regexp_replace(lower(business_name), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(business_address), '[^a-z0-9]+', ' ', 'g')) AS a FROM raw2),
+d AS (SELECT *, list_distinct(string_split(n, ' ')) AS words, list_filter(string_split(n, ' '), lambda x, i: x NOT IN ('ltd', 'inc', 'services', 'com') AND list_position(string_split(n, ' '), x) = i) AS core,
+  CASE k % 5 WHEN 0 THEN ['main', 'street', 'st_ny'] WHEN 1 THEN ['park', 'road', 'kolkata', 'st_wb'] WHEN 2 THEN ['avenue', 'st_ny'] WHEN 4 THEN ['oak', 'lane', 'mumbai', 'st_mh'] ELSE [] END AS address,
+  CASE k % 5 WHEN 0 THEN ['st_ny'] WHEN 1 THEN ['st_wb'] WHEN 2 THEN ['st_ny'] WHEN 4 THEN ['st_mh'] ELSE [] END AS states,
+  replace(array_to_string(list_filter(string_split(n, ' '), lambda x: x NOT IN ('com', 'www')), ' '), ' ', '') AS compact, regexp_replace(a, '[^0-9]', '', 'g') AS digits FROM d0),
+cand AS (SELECT q, t, p FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p DESC, t) AS place FROM (SELECT x.entity_id AS q, y.entity_id AS t, ((x.k * 7919 + y.k * 104729) % 1000) / 1000.0::DOUBLE AS p FROM d x JOIN d y USING (country, p_size) WHERE left(x.entity_id, 2) = 'S1' AND left(y.entity_id, 2) <> 'S1')) WHERE place <= 12),
+total AS (SELECT count(*)::DOUBLE AS n FROM d WHERE left(entity_id, 2) = 'S1'),
+idf1 AS (SELECT token, ln((SELECT n FROM total) / (count(*) + 1)) AS w FROM (SELECT unnest(words) AS token FROM d WHERE left(entity_id, 2) = 'S1') GROUP BY 1 HAVING count(*) >= 2),
+wt1 AS (SELECT entity_id, token, coalesce(w, ln((SELECT n FROM total) / 2)) AS w FROM (SELECT entity_id, unnest(words) AS token FROM d) LEFT JOIN idf1 USING (token)),
+nrm1 AS (SELECT entity_id, sum(w * w) AS s FROM wt1 GROUP BY 1),
+pc AS (SELECT c.*, x.core AS qc, y.core AS tc, x.address AS qa, y.address AS ta, x.states AS qs, y.states AS ts, x.compact AS qk, y.compact AS tk, x.digits AS qd, y.digits AS td, x.business_name AS qn, y.business_name AS tn, x.business_address AS qb, y.business_address AS tb FROM cand c JOIN d x ON x.entity_id = q JOIN d y ON y.entity_id = t)
+"""
+
+
+def _part_records(w):
+    k = F.col("p_partkey")
+    prefix = F.when(k % 3 == 0, "S1-").when(k % 3 == 1, "S2-").otherwise("S3-")
+    form = F.when(k % 4 == 0, " ltd").when(k % 4 == 1, " services inc").when(k % 4 == 2, ".com").otherwise("")
+    place = F.when(k % 5 == 0, " Main St New York").when(k % 5 == 1, " park rd Calcutta WB").when(k % 5 == 2, " 5 ave NY").otherwise(" oak ln bombay mh")
+    address = F.when(k % 5 == 3, "").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("-"), (k % 17).cast("string"), place))
+    return w.table("part").select(
+        F.concat(prefix, k.cast("string")).alias("entity_id"), F.col("p_brand").alias("country"), k.alias("k"), "p_size",
+        F.concat("p_name", F.lit(" "), F.lower("p_type"), form).alias("business_name"), address.alias("business_address"),
+    )
+
+
+def _part_pairs(records):
+    q = records.filter("entity_id LIKE 'S1-%'").select(F.col("entity_id").alias("q"), "country", "p_size", F.col("k").alias("kq"))
+    t = records.filter("entity_id NOT LIKE 'S1-%'").select(F.col("entity_id").alias("t"), "country", "p_size", F.col("k").alias("kt"))
+    rows = q.join(t, ["country", "p_size"]).select("q", "t", (((F.col("kq") * 7919 + F.col("kt") * 104729) % 1000) / 1000.0).alias("p"))
+    return K.first_by(rows, ["q"], [F.desc("p"), F.asc("t")], 12).drop("place")
+
+
+def _stage_two(w):
+    records = _part_records(w)
+    held = V.described(records)
+    pairs = _part_pairs(records)
+    return pairs, held, V.pair_features(pairs, held, held.filter("entity_id LIKE 'S1-%'"))
+
+
+_SET2 = "len(list_intersect({0}, {1}))"
+
+
+@register("l_stage2_pairs", f"""SELECT q, t, CAST(qb = '' AS INT) AS q_address_missing, CAST(len(qc) > 0 AND qc = tc AS INT) AS core_equal, round(jaro_winkler_similarity(array_to_string(qc, ' '), array_to_string(tc, ' ')), 5) AS core_jw,
+  round({_SET2.format("qc", "tc")}::DOUBLE / least(len(qc), len(tc)), 5) AS core_containment, round({_SET2.format("qc", "tc")}::DOUBLE / len(list_distinct(list_concat(qc, tc))), 5) AS core_jaccard, len(qc) - {_SET2.format("qc", "tc")} AS core_q_only, len(tc) - {_SET2.format("qc", "tc")} AS core_t_only,
+  round(coalesce((SELECT sum(a.w * a.w) FROM wt1 a JOIN wt1 b USING (token) WHERE a.entity_id = q AND b.entity_id = t), 0) / sqrt((SELECT s FROM nrm1 WHERE entity_id = q) * (SELECT s FROM nrm1 WHERE entity_id = t)), 5) AS name_cosine,
+  round(coalesce((SELECT max(a.w) FROM wt1 a JOIN wt1 b USING (token) WHERE a.entity_id = q AND b.entity_id = t), 0), 5) AS name_shared_max,
+  round(coalesce((SELECT max(a.w) FROM wt1 a WHERE a.entity_id = q AND a.token NOT IN (SELECT token FROM wt1 WHERE entity_id = t)), 0), 5) AS name_q_missing_max,
+  round(coalesce((SELECT max(a.w) FROM wt1 a WHERE a.entity_id = t AND a.token NOT IN (SELECT token FROM wt1 WHERE entity_id = q)), 0), 5) AS name_t_missing_max,
+  round(jaro_winkler_similarity(qk, tk), 5) AS compact_jw, CAST(tn LIKE '%.com' AS INT) AS t_domain, round(CASE WHEN len(qa) > 0 AND len(ta) > 0 THEN {_SET2.format("qa", "ta")}::DOUBLE / len(list_distinct(list_concat(qa, ta))) ELSE 0 END, 5) AS address_jaccard,
+  CAST(list_has_any(qs, ts) AS INT) AS state_equal, CAST(len(qs) > 0 AND len(ts) > 0 AND NOT list_has_any(qs, ts) AS INT) AS state_conflict, round(CASE WHEN qd <> '' AND td <> '' THEN jaro_winkler_similarity(qd, td) ELSE 0 END, 5) AS digits_jw FROM pc""", PART_RECORDS)
+def l_stage2_pairs(w):
+    rows = _stage_two(w)[2]
+    whole = ("q_address_missing", "core_equal", "core_q_only", "core_t_only", "t_domain", "state_equal", "state_conflict")
+    parts = ("core_jw", "core_containment", "core_jaccard", "name_cosine", "name_shared_max", "name_q_missing_max", "name_t_missing_max", "compact_jw", "address_jaccard", "digits_jw")
+    return rows.select("q", "t", *[F.col(c).cast("int").alias(c) for c in whole], *[F.round(c, 5).alias(c) for c in parts])
+
+
+@register("l_stage2_context", """SELECT c.q, c.t, round(ln(x / (1 - x)), 5) AS base_logit, CAST(row_number() OVER (PARTITION BY c.q ORDER BY p DESC, c.t) AS INTEGER) AS rank, round(max(p) OVER w - p, 5) AS gap_top, CAST(sum(CAST(p >= 0.9 AS INT)) OVER w AS INTEGER) AS n_strong, CAST(sum(CAST(p >= 0.5 AS INT)) OVER w AS INTEGER) AS n_mid,
+  round(coalesce(sn, 0), 5) AS sibling_name, CAST(coalesce(sc, 0) AS INTEGER) AS sibling_copy FROM (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS x FROM cand) c
+  LEFT JOIN (SELECT a.q, a.t, max(jaro_winkler_similarity(array_to_string(a.tc, ' '), array_to_string(b.tc, ' '))) AS sn, max(CAST(a.tn = b.tn AND a.tb = b.tb AS INT)) AS sc FROM pc a JOIN pc b ON a.q = b.q AND b.p >= 0.9 AND a.t <> b.t GROUP BY ALL) m ON m.q = c.q AND m.t = c.t WINDOW w AS (PARTITION BY c.q)""", PART_RECORDS)
+def l_stage2_context(w):
+    records = _part_records(w)
+    rows = V.context_features(_part_pairs(records), V.described(records))
+    return rows.select("q", "t", F.round("base_logit", 5).alias("base_logit"), *[F.col(c).cast("int").alias(c) for c in ("rank", "n_strong", "n_mid", "sibling_copy")], *[F.round(c, 5).alias(c) for c in ("gap_top", "sibling_name")])
+
+
+@register("l_stage2_all")
+def l_stage2_all(w):
+    pairs, held, made = _stage_two(w)
+    names = [c for c in made.columns if c not in ("q", "t")]
+    return V.context_features(pairs, held).join(K.qnorm(made, names), ["q", "t"])
+
+
+@register("l_resolver_features", """SELECT q, t, CAST(a1 = b1 AS INT) AS name_equal, CAST(qb = '' AS INT) AS q_no_address, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 5) AS name_jaccard, CAST(len(list_intersect(x, y)) = least(len(x), len(y)) AS INT) AS name_within, CAST(left(t, 2) = 'S3' AS INT) AS t_third, round(length(b1)::DOUBLE / length(a1), 5) AS name_length_ratio
+  FROM (SELECT *, array_to_string(x, ' ') AS a1, array_to_string(y, ' ') AS b1 FROM (SELECT *, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(qn), '[^a-z0-9]+', ' ', 'g')), ' '), lambda v: v NOT IN ('ltd', 'inc')))) AS x, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(tn), '[^a-z0-9]+', ' ', 'g')), ' '), lambda v: v NOT IN ('ltd', 'inc')))) AS y FROM pc))""", PART_RECORDS)
+def l_resolver_features(w):
+    records = _part_records(w)
+    side = lambda s: records.select(F.col("entity_id").alias(s), F.col("business_name").alias(f"{s}n"), F.col("business_address").alias(f"{s}a"))
+    rows = V.resolver_features(_part_pairs(records).join(side("q"), "q").join(side("t"), "t"))
+    return rows.select("q", "t", *[F.col(c).cast("int").alias(c) for c in ("name_equal", "q_no_address", "name_within", "t_third")], *[F.round(c, 5).alias(c) for c in ("name_jaccard", "name_length_ratio")])
+
+
+SPELLED = RECORDS + ", map_ AS (SELECT DISTINCT n, strip_accents(n) AS spelling FROM nrm WHERE NOT regexp_full_match(n, '[\\x00-\\x7F]*')), sp AS (SELECT nrm.entity_id, country, coalesce(spelling, nrm.n) AS n, a FROM nrm LEFT JOIN map_ USING (n))\n"
+
+
+@register("t_spelled", "SELECT entity_id, n FROM sp", SPELLED)
+def t_spelled(w):
+    return _spelled(w).select("entity_id", "n")
+
+
+def _spelled(w):
+    n = w.norm
+    rows = n.queries.unionByName(n.targets)
+    table = rows.filter(F.col("n").rlike(r"[^\x00-\x7F]")).select("n", T.strip_accents(F.col("n")).alias("spelling")).distinct()
+    return M.transliterated(F.col("n"), table, rows, "spelled").select("entity_id", "country", F.col("spelled").alias("n"), "a")
+
+
+@register("r_spelled_char3_topk", TOP.format(k=100), grams_sql().replace("FROM nrm WHERE length(n) >= 3", "FROM sp WHERE length(n) >= 3").replace("docs AS (SELECT country, count(*) AS texts FROM t WHERE", "docs AS (SELECT country, count(*) AS texts FROM sp WHERE left(entity_id, 2) <> 'S1' AND").replace(RECORDS, SPELLED))
+def r_spelled_char3_topk(w):
+    rows = _spelled(w)
+    q, t = rows.filter("entity_id LIKE 'S1-%'"), rows.filter("entity_id NOT LIKE 'S1-%'")
+    found = R.gram_route(q, t, t, name="spelled_char3")
+    return found.select("source1_entity_id", "target_id", F.round("route_score", 4).alias("route_score"))
+
+
+@register("r_word_topk", """SELECT source1_entity_id, target_id, round(route_score, 4) AS route_score FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, left(target_id, 2) ORDER BY route_score DESC, target_id) AS k FROM sim WHERE route_score > 0) WHERE k <= 20 AND route_score >= 0.05""",
+  RECORDS + """,
+gr AS (SELECT entity_id, country, unnest(string_split(n, ' ')) AS gram FROM nrm WHERE n <> ''),
+tf AS (SELECT entity_id, country, gram, 1 + ln(count(*)) AS tf, count(*) AS c FROM gr GROUP BY ALL),
+docs AS (SELECT country, count(*) AS texts FROM t WHERE n <> '' GROUP BY 1),
+idf AS (SELECT country, gram, ln((1.0 + texts) / (1.0 + df)) + 1 AS idf FROM (SELECT country, gram, count(*) AS df FROM tf WHERE left(entity_id, 2) <> 'S1' GROUP BY ALL HAVING count(*) >= 2) JOIN docs USING (country) WHERE df <= texts * 0.5::DOUBLE),
+wt0 AS (SELECT entity_id, country, gram, tf * idf AS w FROM tf JOIN idf USING (country, gram)),
+wt AS (SELECT entity_id, country, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS weight FROM wt0),
+sim AS (SELECT q.entity_id AS source1_entity_id, x.entity_id AS target_id, round(sum(q.weight * x.weight), 9) AS route_score FROM wt q JOIN wt x USING (country, gram) WHERE left(q.entity_id, 2) = 'S1' AND left(x.entity_id, 2) <> 'S1' GROUP BY ALL)
+""")
+def r_word_topk(w):
+    n = w.norm
+    rows = R.gram_route(n.queries, n.targets, n.targets, n=1, k=20, name="word", analyzer="word", sublinear=True, max_share=0.5, min_score=0.05)
+    return rows.select("source1_entity_id", "target_id", F.round("route_score", 4).alias("route_score"))
