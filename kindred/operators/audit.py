@@ -63,15 +63,22 @@ def text_patterns(records: DataFrame) -> DataFrame:
 
 
 def integrity(queries: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(check, n) of the truth: pairs, unknown ids on either side, repeated pairs, targets with several owners."""
-    q, t = queries.select(F.col("entity_id").alias("source1_entity_id")), targets.select(F.col("entity_id").alias("target_id"))
+    """(check, n) of the truth: pairs, records with and without links, unknown ids on either side, repeated pairs, targets
+    with several owners, pairs across countries, and targets that nobody has."""
+    q = queries.select(F.col("entity_id").alias("source1_entity_id"), F.col("country").alias("qc"))
+    t = targets.select(F.col("entity_id").alias("target_id"), F.col("country").alias("tc"))
     count = lambda df, name: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
+    linked = pairs.select("source1_entity_id").distinct()
     checks = [
         count(pairs, "positive_pairs"),
+        count(q.join(linked, "source1_entity_id", "left_semi"), "linked_queries"),
+        count(q.join(linked, "source1_entity_id", "left_anti"), "singletons"),
         count(pairs.join(q, "source1_entity_id", "left_anti"), "unknown_queries"),
         count(pairs.join(t, "target_id", "left_anti"), "unknown_targets"),
         count(pairs.groupBy("source1_entity_id", "target_id").count().filter("count > 1"), "duplicate_pairs"),
         count(pairs.groupBy("target_id").agg(F.countDistinct("source1_entity_id").alias("n")).filter("n > 1"), "shared_targets"),
+        count(pairs.join(q, "source1_entity_id").join(t, "target_id").filter("qc <> tc"), "across_countries"),
+        count(t.join(pairs, "target_id", "left_anti"), "free_targets"),
     ]
     return reduce(DataFrame.unionByName, checks)
 

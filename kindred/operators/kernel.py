@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,7 +83,7 @@ def top_products(queries: DataFrame, targets: DataFrame, group: str, product, k:
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and where each row's begin."""
     rows = column.combine_chunks()
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(rows), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(rows), 0)).astype(np.int64)
     return np.asarray(rows.flatten()), np.r_[0, np.cumsum(sizes)]
 
 

@@ -185,6 +185,76 @@ def platt(rows: DataFrame, p: str = "p", y: str = "label") -> Callable[[DataFram
     return lambda df: model.transform(prepare(df)).withColumn("calibrated", vector_to_array("probability")[1]).drop("_logits", "_logit", "rawPrediction", "probability", "prediction")
 
 
+def isotonic(rows: DataFrame, p: str = "p", y: str = "label") -> Callable[[DataFrame], DataFrame]:
+    """A monotone calibration of the scores, as a function that adds ``calibrated``."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    assemble = VectorAssembler(inputCols=[p], outputCol="_score")
+    model = IsotonicRegression(featuresCol="_score", labelCol=y, predictionCol="calibrated").fit(assemble.transform(rows.withColumn(y, F.col(y).cast("double"))))
+    return lambda df: model.transform(assemble.transform(df)).drop("_score")
+
+
+def stacked(rows: DataFrame, p: str = "p", label: str = "label", extra: Sequence[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """A logistic stacker over the log odds of a score, its rank and gap in the record and ``extra`` columns, as a function that adds ``stacked``."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    w = Window.partitionBy("source1_entity_id")
+    clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    assemble = VectorAssembler(inputCols=["_logit", "_rank", "_gap", *extra], outputCol="_stack", handleInvalid="keep")
+
+    def prepared(df: DataFrame) -> DataFrame:
+        made = {"_logit": F.log(clipped / (1 - clipped)), "_rank": F.row_number().over(w.orderBy(F.desc(p), "target_id")).cast("double"), "_gap": F.max(p).over(w) - F.col(p)}
+        return assemble.transform(df.withColumns(made))
+
+    model = LogisticRegression(featuresCol="_stack", labelCol=label, regParam=0.01).fit(prepared(rows))
+    drop = ("_stack", "_logit", "_rank", "_gap", "rawPrediction", "probability", "prediction")
+    return lambda df: model.transform(prepared(df)).withColumn("stacked", vector_to_array("probability")[1]).drop(*drop)
+
+
+def nested_out_of_fold(rows: DataFrame, features: Sequence[str], folds: Sequence[int], queries: DataFrame, iterations: int = 10) -> DataFrame:
+    """(fold, threshold, macro_f05) of each outer fold, with a threshold that was chosen on inner folds only.
+
+    The other folds score each other out of fold; the threshold with the best macro F0.5 over them, the higher one of a
+    tie, is applied to the outer fold, which a model of all the others scores. ``queries`` has q, fold and actual.
+    """
+    from kindred.operators import decisions as D
+
+    as_claims = lambda df: df.select(F.col("source1_entity_id").alias("q"), F.col("target_id").alias("t"), "p", F.col("label").alias("y"))
+    out = []
+    for outer in folds:
+        inner = [f for f in folds if f != outer]
+        scores = out_of_fold(fit_rows(rows, inner), features, inner, iterations)
+        best = D.best_threshold(D.threshold_sweep(as_claims(scores), queries.filter(F.col("fold").isin(*inner)).select("q", "actual"))).first()
+        held = out_of_fold(rows, features, [outer, *inner], iterations).filter(F.col("fold") == outer)
+        chosen = as_claims(held.filter(F.col("p") >= best["threshold"]))
+        found = chosen.groupBy("q").agg(F.count("*").alias("predicted"), F.sum("y").alias("tp"))
+        scored = queries.filter(F.col("fold") == outer).join(found, "q", "left").fillna(0, ["predicted", "tp"])
+        macro = F.avg(D.f05(F.col("tp"), F.col("predicted"), F.col("actual"))).alias("macro_f05")
+        out.append(scored.agg(macro).select(F.lit(outer).alias("fold"), F.lit(best["threshold"]).alias("threshold"), "macro_f05"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def ablation(rows: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]], folds: Sequence[int], iterations: int = 10) -> DataFrame:
+    """(dropped, features, auc): out-of-fold AUC with all features and without those of each group, named by their prefixes."""
+    out = []
+    for name, prefixes in {"none": (), **groups}.items():
+        kept = [f for f in features if not f.startswith(tuple(prefixes))] if prefixes else list(features)
+        scored = out_of_fold(rows, kept, folds, iterations)
+        out.append(rank_auc(scored, "p", "label").select(F.lit(name).alias("dropped"), F.lit(len(kept)).alias("features"), "auc"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def prior_threshold(scored: DataFrame, rate: float, p: str = "p") -> DataFrame:
+    """(threshold, kept): the least score that keeps at most ``rate`` of the pairs, from counts by distinct score."""
+    counts = _curve(scored.withColumn("_y", F.lit(1)), p, "_y", True)
+    total = scored.agg((F.count("*") * F.lit(rate)).alias("most"))
+    fits = counts.join(F.broadcast(total)).filter(F.col("cum_pos") <= F.col("most"))
+    return fits.agg(F.min("score").alias("threshold"), F.max("cum_pos").cast("long").alias("kept"))
+
+
 def mined_phrases(pairs: DataFrame, source: str, target: str, entity: str, support: int = 10, entities: int = 8, share: float = 0.9) -> DataFrame:
     """(old, new, n, records, share): replacements of at most two tokens, without digits, between linked texts.
 

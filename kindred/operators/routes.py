@@ -176,6 +176,13 @@ def gram_route(
     return found.select(F.col("q").alias("source1_entity_id"), F.col("t").alias("target_id"), F.lit(name).alias("route"), F.col("score").alias("route_score"), F.col("rank").alias("route_rank"))
 
 
+def index_route(queries: DataFrame, vectors: DataFrame, idf: DataFrame, column: str = "n", n: int = 3, k: int = 100, name: str = "name_char3") -> DataFrame:
+    """The n-gram route over a written index (vectors, terms) of the targets."""
+    q = gram_vectors(queries, column, n, idf).drop("source")
+    found = KERNEL.top_products(q, vectors, "country", KERNEL.sparse, k)
+    return found.select(F.col("q").alias("source1_entity_id"), F.col("t").alias("target_id"), F.lit(name).alias("route"), F.col("score").alias("route_score"), F.col("rank").alias("route_rank"))
+
+
 def key_blocks(queries: DataFrame, targets: DataFrame, key: Column, cap: int = 20) -> DataFrame:
     """Pairs of one country and key, if at most ``cap`` targets have it, with both block sizes."""
     sized = lambda df, role, n: df.withColumn("key", key).filter("key <> ''").withColumn(

@@ -176,6 +176,27 @@ def r_pool_block(w):
     return found.withColumn("score", r6("score"))
 
 
+CATEGORIES = {
+    "C01": ("y = 1 AND p < 0.02", lambda p, y, t, q: (y == 1) & (p < 0.02)), "C02": ("y = 1 AND p < 0.2", lambda p, y, t, q: (y == 1) & (p < 0.2)),
+    "C03": ("y = 1 AND p < 0.5 AND left(t, 2) = 'S3'", lambda p, y, t, q: (y == 1) & (p < 0.5) & t.startswith("S3")),
+    "C04": ("y = 1 AND p < 0.5", lambda p, y, t, q: (y == 1) & (p < 0.5)), "C05": ("y = 1 AND p < 0.7", lambda p, y, t, q: (y == 1) & (p < 0.7)),
+    "C06": ("y = 0 AND p >= 0.99", lambda p, y, t, q: (y == 0) & (p >= 0.99)), "C07": ("y = 0 AND p >= 0.9 AND q % 7 = 0", lambda p, y, t, q: (y == 0) & (p >= 0.9) & (q % 7 == 0)),
+    "C08": ("y = 0 AND p >= 0.9", lambda p, y, t, q: (y == 0) & (p >= 0.9)), "C09": ("y = 0 AND p >= 0.7 AND left(t, 2) = 'S3'", lambda p, y, t, q: (y == 0) & (p >= 0.7) & t.startswith("S3")),
+    "C10": ("y = 0 AND p >= 0.7", lambda p, y, t, q: (y == 0) & (p >= 0.7)), "C11": ("p BETWEEN 0.4 AND 0.6", lambda p, y, t, q: p.between(0.4, 0.6)),
+}
+
+
+@register("f_twelve_categories", "SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, (c, _) in CATEGORIES.items()) + " ELSE 'C12' END AS category, count(*) AS n FROM claims GROUP BY 1", CLAIMS)
+def f_twelve_categories(w):
+    rules = {n: rule(F.col("p"), F.col("y"), F.col("t"), F.col("q")) for n, (_, rule) in CATEGORIES.items()}
+    return w.claims.groupBy(M.categorise(rules, "C12").alias("category")).agg(F.count("*").alias("n"))
+
+
+@register("l_prior_threshold", "SELECT min(p) AS threshold, max(c) AS kept FROM (SELECT p, CAST(sum(n) OVER (ORDER BY p DESC) AS BIGINT) AS c, sum(n) OVER () AS total FROM (SELECT p, count(*) AS n FROM claims GROUP BY 1)) WHERE c <= total * 0.17::DOUBLE", CLAIMS)
+def l_prior_threshold(w):
+    return M.prior_threshold(w.claims, 0.17)
+
+
 # Slices
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,11 +80,83 @@ def merge_shards(parts: Sequence[DataFrame], required: DataFrame, key: str = "so
     return merged.orderBy(key)
 
 
-def write_verified(rows: DataFrame, path: str, sort: Sequence[str] = ()) -> DataFrame:
-    """ZSTD Parquet, read back and compared as a bag both ways; an existing path or a difference raises."""
+def write_verified(rows: DataFrame, path: str, sort: Sequence[str] = (), group_bytes: int = 128 << 20) -> DataFrame:
+    """ZSTD Parquet with row groups of about ``group_bytes``, read back and compared as a bag both ways.
+
+    An existing path or a difference raises.
+    """
     out = rows.orderBy(*sort) if sort else rows
-    out.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    out.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", group_bytes).parquet(path)
     back = rows.sparkSession.read.parquet(path)
     if rows.exceptAll(back).limit(1).count() or back.exceptAll(rows).limit(1).count():
         raise ValueError(f"{path} differs from what was written")
     return back
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    """Rows as tab-separated text with a header and no quotes; nulls are empty. A tab or line break in a value raises."""
+    def safe(c: str):
+        text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        return F.when(text.rlike("[\\t\\r\\n]"), F.raise_error(F.lit(f"tab or line break in {c}")).cast("string")).otherwise(text).alias(c)
+
+    rows.select(*[safe(c) for c in rows.columns]).write.mode("errorifexists").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_object(spark: SparkSession, path: str) -> bytes:
+    """A small object of any store that Spark reads."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def put_object(spark: SparkSession, path: str, data: bytes) -> str:
+    """Stores a small object beside its SHA-256 and reads it back; returns the digest.
+
+    An object with this digest is left alone, another one at the path raises, and so does a read that differs.
+    """
+    digest = hashlib.sha256(data).hexdigest()
+    store, at = _store(spark, path)
+    if store.exists(at):
+        if hashlib.sha256(read_object(spark, path)).hexdigest() != digest:
+            raise FileExistsError(f"{path} holds another object")
+    else:
+        out = store.create(at, False)
+        out.write(bytearray(data))
+        out.close()
+        if hashlib.sha256(read_object(spark, path)).hexdigest() != digest:
+            raise ValueError(f"{path} differs from what was written")
+    side_store, side = _store(spark, path + ".sha256")
+    if not side_store.exists(side):
+        out = side_store.create(side, False)
+        out.write(bytearray(digest.encode()))
+        out.close()
+    return digest
+
+
+def read_config(spark: SparkSession, path: str, known: Sequence[str]) -> dict:
+    """A JSON object of settings; a key that is not ``known`` raises."""
+    found = json.loads(read_object(spark, path))
+    if not isinstance(found, dict) or set(found) - set(known):
+        raise ValueError(f"unknown settings in {path}: {sorted(set(found) - set(known)) if isinstance(found, dict) else found!r}")
+    return found
+
+
+def write_report(spark: SparkSession, path: str, report: dict) -> str:
+    """A JSON report with sorted keys, stored once; returns its digest."""
+    return put_object(spark, path, json.dumps(report, sort_keys=True, indent=2, default=str).encode())
+
+
+def write_index(vectors: DataFrame, idf: DataFrame, path: str) -> None:
+    """A retrieval index: unit vectors by country and source, and the terms they are made of."""
+    vectors.write.mode("errorifexists").partitionBy("country", "source").option("compression", "zstd").parquet(f"{path}/vectors")
+    idf.write.mode("errorifexists").partitionBy("country").option("compression", "zstd").parquet(f"{path}/terms")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, terms) of an index."""
+    read = lambda name, kind: spark.read.schema(kind).parquet(f"{path}/{name}")
+    vectors = read("vectors", "id string, terms array<long>, weights array<double>, country string, source string")
+    return vectors, read("terms", "gram string, idf double, term long, country string")
