@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -29,8 +30,10 @@ from .simhash import SEED
 WORDS, SHARE = 5, (4, 5)
 #: Members of a bucket that are all compared at once; rows of a block of a larger one.
 SMALL, BLOCK = 16, 2048
-#: A sketch has 2^BITS bits.
-BITS = 9
+#: A sketch has 2^BITS bits, the wide one that is kept beside each text 2^WIDE.
+BITS, WIDE = 9, 11
+#: A text is stored compressed unless that is this many times smaller, so that a batch of stored texts bounds the texts.
+EXPANSION = 8
 #: Texts of the sample, its count from which a shingle is frequent, and the most of them that are sent out.
 SAMPLE, OFTEN, LISTED = 5000, 5, 100_000
 
@@ -85,12 +88,23 @@ def prefix(found: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHA
     return np.concatenate([found[~late], found[late]])[: len(found) - _least(len(found), share) + 1]
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Parity bits of a set, as longs; the bit of a shingle is in its top bits."""
-    bits = np.bincount((found.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) & 1
+def sketch(found: np.ndarray, power: int = BITS) -> np.ndarray:
+    """2^power parity bits of a set, as longs; the bit of a shingle is in its top bits."""
+    bits = np.bincount((found.view(np.uint64) >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def packed(text: bytes) -> bytes:
+    """A text as it is stored: compressed after a 1, or itself after a 0."""
+    small = zstandard.ZstdCompressor(level=3).compress(text)
+    return b"\1" + small if len(small) < len(text) <= EXPANSION * len(small) else b"\0" + text
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    opened = zstandard.ZstdDecompressor()
+    return [opened.decompress(x[1:]) if x[:1] == b"\1" else x[1:] for x in column.to_pylist()]
+
+
 def _possible(n, m, i, j, share):
     """Whether sets of n and m that meet at places i and j can be similar; places before the first common one only lower this."""
     most = 1 + np.minimum(n - i - 1, m - j - 1) + np.minimum(i, j)
@@ -134,10 +148,10 @@ def _frequent(heads: DataFrame, total: int, words: int) -> np.ndarray:
 
     def run(batches):
         for part in chunks(batches, 2 << 20):
-            found = shingle_sets(utf8(part.column(0)), words)
+            found = shingle_sets(unpacked(part.column(0)), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["h"])
 
-    sample = heads.filter(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(max(1, total // SAMPLE))) == 0).select("text")
+    sample = heads.filter(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(max(1, total // SAMPLE))) == 0).select("stored")
     counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
     return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(LISTED).collect()], np.int64))
 
@@ -147,7 +161,7 @@ def _postings(heads: DataFrame, frequent: np.ndarray, words: int, share) -> Data
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
-            sets = shingle_sets(utf8(part.column(1)), words)
+            sets = shingle_sets(unpacked(part.column(1)), words)
             first = [prefix(s, frequent, share) for s in sets]
             times = [len(p) for p in first]
             if sum(times):
@@ -160,7 +174,7 @@ def _postings(heads: DataFrame, frequent: np.ndarray, words: int, share) -> Data
                     ["h", "fp", "n", "i", "root"],
                 )
 
-    return heads.select("fp", "text", "root").mapInArrow(run, "h long, fp long, n long, i long, root long")
+    return heads.select("fp", "stored", "root").mapInArrow(run, "h long, fp long, n long, i long, root long")
 
 
 FOUND = ["u", "v", "h", "fp", "n", "i", "root"]
@@ -267,18 +281,18 @@ def _across(large: DataFrame, star: DataFrame, heads: DataFrame, share, block: i
 
 
 def _confirmed(pairs: DataFrame, heads: DataFrame, words: int, share) -> DataFrame:
-    """The pairs whose texts are similar."""
-    bits = sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range((1 << BITS) // 64)), F.lit(0))
+    """The pairs whose texts are similar; wide sketches rule out most others before a text is moved."""
+    bits = sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range((1 << WIDE) // 64)), F.lit(0))
     for x in ("u", "v"):
-        pairs = pairs.join(heads.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+        pairs = pairs.join(heads.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")), x)
     pairs = pairs.filter((share[0] + share[1]) * bits <= (share[1] - share[0]) * (F.col("nu") + F.col("nv"))).select("u", "v")
-    u = heads.select(F.col("fp").alias("u"), F.col("text").alias("tu"))
-    v = heads.select(F.col("fp").alias("v"), F.col("text").alias("tv"))
+    u = heads.select(F.col("fp").alias("u"), F.col("stored").alias("tu"))
+    v = heads.select(F.col("fp").alias("v"), F.col("stored").alias("tv"))
 
     def run(batches):
-        for part in chunks(batches, 4 << 20):
+        for part in chunks(batches, 1 << 20):
             us, vs = part.column(0).to_pylist(), part.column(1).to_pylist()
-            texts = dict(zip(us + vs, utf8(part.column(2)) + utf8(part.column(3)), strict=True))
+            texts = dict(zip(us + vs, unpacked(part.column(2)) + unpacked(part.column(3)), strict=True))
             sets = dict(zip(texts, shingle_sets(list(texts.values()), words), strict=True))
             good = [similar(sets[a], sets[b], share) for a, b in zip(us, vs, strict=True)]
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -297,20 +311,26 @@ def near_duplicates(
 
     def run(batches):
         for part in chunks(batches, 2 << 20):
-            sets = shingle_sets(utf8(part.column(1)), words)
+            texts = utf8(part.column(1))
+            sets = shingle_sets(texts, words)
             fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), part.column(1)],
-                ["id", "fp", "n", "sketch", "text"],
-            )
+            arrays = [
+                part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([sketch(s, WIDE) for s in sets], pa.list_(pa.int64())), pa.array([packed(t) for t in texts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "n", "sketch", "wide", "stored"])
+
+    def opened(batches):
+        for part in chunks(batches, 1 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(unpacked(part.column(1)), pa.binary()).cast(pa.string())], ["head", "text"])
 
     spark = df.sparkSession
     source = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    marked = source.mapInArrow(run, "id long, fp long, n long, sketch array<long>, text string")
+    marked = source.mapInArrow(run, "id long, fp long, n long, sketch array<long>, wide array<long>, stored binary")
     rows = checkpointed(marked.select("id", "fp"))
-    heads = checkpointed(marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("text").alias("text")))
+    heads = checkpointed(marked.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "wide", "stored")]))
     release(spark)
-    head = heads.select(F.col("fp").alias("head"), "text")
+    head = heads.select("fp", "stored").mapInArrow(opened, "head long, text string")
     known = simhash.near_duplicates(head, "head", "text", words).filter("head != component_id")
     pairs = checkpointed(known.select(F.greatest("head", "component_id").alias("u"), F.least("head", "component_id").alias("v")).distinct())
     release(spark)
