@@ -536,3 +536,45 @@ def r_word_topk(w):
     n = w.norm
     rows = R.gram_route(n.queries, n.targets, n.targets, n=1, k=20, name="word", analyzer="word", sublinear=True, max_share=0.5, min_score=0.05)
     return rows.select("source1_entity_id", "target_id", F.round("route_score", 4).alias("route_score"))
+
+
+def _text_sql(name: str, a: str, b: str) -> str:
+    """Text features of two columns that SQL has, zero where one is blank."""
+    x, y = f"string_split({a}, ' ')", f"string_split({b}, ' ')"
+    both, size = f"len(list_intersect({x}, {y}))", lambda v: f"len(list_distinct({v}))"
+    found = {
+        "exact": f"CAST({a} = {b} AS DOUBLE)", "jaro_winkler": f"jaro_winkler_similarity({a}, {b})", "levenshtein": f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE",
+        "jaccard": f"{both}::DOUBLE / len(list_distinct(list_concat({x}, {y})))", "dice": f"2.0::DOUBLE * {both} / ({size(x)} + {size(y)})", "containment": f"{both}::DOUBLE / least({size(x)}, {size(y)})",
+        "length_ratio": f"least(length({a}), length({b}))::DOUBLE / greatest(length({a}), length({b}))", "first_equal": f"CAST({x}[1] = {y}[1] AS DOUBLE)", "last_equal": f"CAST({x}[-1] = {y}[-1] AS DOUBLE)",
+    }
+    return ", ".join(f"round(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE {v} END, 4) AS {name}_{k}" for k, v in found.items())
+
+
+_N = "list_distinct(regexp_extract_all({0}, '[0-9]+'))"
+_Z = "list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')))"
+
+
+def _number_sql(name: str, form: str) -> str:
+    x, y = form.format("sa"), form.format("ta")
+    both = f"len(list_intersect({x}, {y}))"
+    return f"CAST({both} > 0 AS INT) AS {name}_overlap, CAST(len({x}) > 0 AND len({y}) > 0 AND {both} = 0 AS INT) AS {name}_conflict, round(coalesce({both}::DOUBLE / nullif(len(list_distinct(list_concat({x}, {y}))), 0), 0), 4) AS {name}_jaccard"
+
+
+_FIRST = "regexp_extract({0}, '[0-9]+')"
+_TEXT = ("exact", "jaro_winkler", "levenshtein", "jaccard", "dice", "containment", "length_ratio", "first_equal", "last_equal")
+_FLAGS = ("query_address_missing", "target_address_missing", "country_equal", "target_is_s2", "numeric_overlap", "numeric_conflict", "canonical_overlap", "canonical_conflict", "first_number_equal", "first_number_conflict")
+
+
+@register("l_pair_features", f"""SELECT q AS source1_entity_id, t AS target_id, {_text_sql("name", "sn", "tn")}, {_text_sql("address", "sa", "ta")}, CAST(sa = '' AS INT) AS query_address_missing, CAST(ta = '' AS INT) AS target_address_missing, 1 AS country_equal, CAST(left(t, 2) = 'S2' AS INT) AS target_is_s2,
+  {_number_sql("numeric", _N)}, {_number_sql("canonical", _Z)}, CAST({_FIRST.format("sa")} <> '' AND {_FIRST.format("sa")} = {_FIRST.format("ta")} AS INT) AS first_number_equal, CAST({_FIRST.format("sa")} <> '' AND {_FIRST.format("ta")} <> '' AND {_FIRST.format("sa")} <> {_FIRST.format("ta")} AS INT) AS first_number_conflict
+  FROM (SELECT q, t, x.n AS sn, x.a AS sa, y.n AS tn, y.a AS ta FROM cand JOIN d x ON x.entity_id = q JOIN d y ON y.entity_id = t)""", PART_RECORDS)
+def l_pair_features(w):
+    from kindred.sources import roles
+
+    raw = _part_records(w)
+    norm = roles.normalized(raw)
+    side = lambda key, s: norm.select(F.col("entity_id").alias(key), F.col("n").alias(f"{s}n"), F.col("a").alias(f"{s}a"), F.col("country").alias(f"{s}c"))
+    pairs = _part_pairs(raw).select(F.col("q").alias("source1_entity_id"), F.col("t").alias("target_id"))
+    made = M.pair_features(pairs.join(side("source1_entity_id", "s"), "source1_entity_id").join(side("target_id", "t"), "target_id"))
+    parts = [f"{n}_{k}" for n in ("name", "address") for k in _TEXT] + ["numeric_jaccard", "canonical_jaccard"]
+    return made.select("source1_entity_id", "target_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in parts], *[F.col(c).cast("int").alias(c) for c in _FLAGS])
