@@ -290,6 +290,12 @@ def categorise(rules: Mapping[str, Column], default: str = "other") -> Column:
     return out
 
 
+def normal_interval(scores: DataFrame, column: str, z: float = 1.96) -> DataFrame:
+    """(records, mean, se, low, high): the normal approximation of a mean's 95 % interval."""
+    row = scores.agg(F.count(column).alias("records"), F.avg(column).alias("mean"), (F.stddev_samp(column) / F.sqrt(F.count(column))).alias("se"))
+    return row.select("records", "mean", "se", (F.col("mean") - z * F.col("se")).alias("low"), (F.col("mean") + z * F.col("se")).alias("high"))
+
+
 def bootstrap(scores: DataFrame, column: str, draws: int = 200, seed: int = 1) -> DataFrame:
     """(low, mean, high): a 95 % interval of the mean by Poisson resampling, all draws in one pass over the records."""
     weights = [F.sum(F.col(column) * w).alias(f"s{i}") for i, w in enumerate(_poisson(draws, seed))]

@@ -578,3 +578,34 @@ def l_pair_features(w):
     made = M.pair_features(pairs.join(side("source1_entity_id", "s"), "source1_entity_id").join(side("target_id", "t"), "target_id"))
     parts = [f"{n}_{k}" for n in ("name", "address") for k in _TEXT] + ["numeric_jaccard", "canonical_jaccard"]
     return made.select("source1_entity_id", "target_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in parts], *[F.col(c).cast("int").alias(c) for c in _FLAGS])
+
+
+@register("l_mined_phrases")
+def l_mined_phrases(w):
+    """Replacements between the names of candidate pairs that agree in their first word."""
+    from kindred.sources import roles
+
+    raw = _part_records(w)
+    names = roles.normalized(raw).select("entity_id", "n")
+    rows = _part_pairs(raw).join(names.withColumnsRenamed({"entity_id": "q", "n": "qn"}), "q").join(names.withColumnsRenamed({"entity_id": "t", "n": "tn"}), "t")
+    near = rows.filter(F.substring_index("qn", " ", 1) == F.substring_index("tn", " ", 1))
+    return M.mined_phrases(near, "tn", "qn", "q", support=2, entities=2, share=0.2)
+
+
+def _bounds_sql() -> str:
+    return f"""SELECT count(*) AS records, round(avg(f), 6) AS mean, round(stddev_samp(f) / sqrt(count(*)), 6) AS se, round(avg(f) - 1.96::DOUBLE * stddev_samp(f) / sqrt(count(*)), 6) AS low, round(avg(f) + 1.96::DOUBLE * stddev_samp(f) / sqrt(count(*)), 6) AS high
+  FROM (SELECT {F05} AS f FROM (SELECT e.q, count(c.t) AS predicted, count(x.t) AS tp, actual FROM entities e LEFT JOIN (SELECT q, t FROM claims WHERE p >= 0.7) c USING (q) LEFT JOIN truth x ON x.q = c.q AND x.t = c.t GROUP BY e.q, actual))"""
+
+
+@register("d_normal_interval", _bounds_sql(), CLAIMS)
+def d_normal_interval(w):
+    return M.normal_interval(D.entity_scores(w.claims.filter("p >= 0.7"), w.truth, w.entities), "f05").withColumns({c: r6(c) for c in ("mean", "se", "low", "high")})
+
+
+@register("d_paired_difference", f"""SELECT count(*) AS records, round(avg(g - f), 6) AS mean, round(stddev_samp(g - f) / sqrt(count(*)), 6) AS se, round(avg(g - f) - 1.96::DOUBLE * stddev_samp(g - f) / sqrt(count(*)), 6) AS low, round(avg(g - f) + 1.96::DOUBLE * stddev_samp(g - f) / sqrt(count(*)), 6) AS high FROM
+  (SELECT q, {F05} AS f FROM (SELECT e.q, count(c.t) AS predicted, count(x.t) AS tp, actual FROM entities e LEFT JOIN (SELECT q, t FROM claims WHERE p >= 0.7) c USING (q) LEFT JOIN truth x ON x.q = c.q AND x.t = c.t GROUP BY e.q, actual)) JOIN
+  (SELECT q, {F05} AS g FROM (SELECT e.q, count(c.t) AS predicted, count(x.t) AS tp, actual FROM entities e LEFT JOIN (SELECT q, t FROM claims WHERE p >= 0.9) c USING (q) LEFT JOIN truth x ON x.q = c.q AND x.t = c.t GROUP BY e.q, actual)) USING (q)""", CLAIMS)
+def d_paired_difference(w):
+    scores = lambda p: D.entity_scores(w.claims.filter(F.col("p") >= p), w.truth, w.entities)
+    both = C.joined_once(scores(0.7).select("q", F.col("f05").alias("f")), scores(0.9).select("q", F.col("f05").alias("g")), ["q"])
+    return M.normal_interval(both.withColumn("d", F.col("g") - F.col("f")), "d").withColumns({c: r6(c) for c in ("mean", "se", "low", "high")})
