@@ -196,8 +196,10 @@ class Model:
         out = np.full(len(texts), self.bias)
         if not flat:
             return out
-        buckets, starts = word_buckets(list(types), self.config)
-        by_type = np.add.reduceat(self.table[buckets], starts) / np.diff(np.r_[starts, len(buckets)])
+        every, by_type = list(types), np.empty(len(types))
+        for i in range(0, len(every), 4096):  # a few thousand words at a time, since their n-grams take most of the memory
+            buckets, starts = word_buckets(every[i : i + 4096], self.config)
+            by_type[i : i + len(starts)] = np.add.reduceat(self.table[buckets], starts) / np.diff(np.r_[starts, len(buckets)])
         total = np.r_[0.0, np.cumsum(by_type[np.array(flat, np.int64)])]
         n = np.array(counts, np.int64)
         first = np.cumsum(n) - n
@@ -313,7 +315,7 @@ def score(df: DataFrame, model: Model, name: str = "score", text: str = "text")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in chunks(batches, 4 << 20):
+        for part in chunks(batches, 2 << 20):
             scores = shared.value.score(strings(part.column(at)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*columns, name])
 
