@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def stars(edges: DataFrame) -> DataFrame:
         large = large.filter(F.col("u") != F.col("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        old, now = now, checkpointed(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         after = _state(now)
         if after == before:
             break

@@ -14,6 +14,8 @@ then only across the components that this has left.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import simhash
-from .common import checkpointed, chunks, release, utf8
+from .common import checkpointed, chunks, discard, release, utf8
 from .components import stars
 from .simhash import SEED
 
@@ -34,6 +36,8 @@ SMALL, BLOCK = 16, 2048
 BITS, WIDE = 9, 11
 #: A text is stored compressed unless that is this many times smaller, so that a batch of stored texts bounds the texts.
 EXPANSION = 8
+#: Bytes of texts that one job may send to their pairs in any case.
+SENT = 64 << 20
 #: Texts of the sample, its count from which a shingle is frequent, and the most of them that are sent out.
 SAMPLE, OFTEN, LISTED = 5000, 5, 100_000
 
@@ -285,9 +289,13 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, words: int, share) -> DataFra
     bits = sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range((1 << WIDE) // 64)), F.lit(0))
     for x in ("u", "v"):
         pairs = pairs.join(heads.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")), x)
-    pairs = pairs.filter((share[0] + share[1]) * bits <= (share[1] - share[0]) * (F.col("nu") + F.col("nv"))).select("u", "v")
-    u = heads.select(F.col("fp").alias("u"), F.col("stored").alias("tu"))
-    v = heads.select(F.col("fp").alias("v"), F.col("stored").alias("tv"))
+    left = (share[0] + share[1]) * bits <= (share[1] - share[0]) * (F.col("nu") + F.col("nv"))
+    pairs = checkpointed(pairs.filter(left).select("u", "v"))
+    stored = heads.select("fp", "stored")
+    size = F.octet_length("stored")
+    most = stored.agg(F.sum(size)).first()[0] or 0
+    sent = pairs.join(heads.select(F.col("fp").alias("u"), size.alias("size")), "u").agg(F.sum("size")).first()[0] or 0
+    release(heads.sparkSession)
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
@@ -297,7 +305,22 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, words: int, share) -> DataFra
             good = [similar(sets[a], sets[b], share) for a, b in zip(us, vs, strict=True)]
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return checkpointed(pairs.join(u, "u").join(v, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"))
+    def confirmed(some):
+        u, v = (stored.join(some.select(F.col(x).alias("fp")), "fp", "left_semi").withColumnsRenamed({"fp": x, "stored": f"t{x}"}) for x in ("u", "v"))
+        return checkpointed(some.join(u, "u").join(v, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"))
+
+    parts = slices(sent, most)
+    if parts == 1:
+        done = confirmed(pairs)
+    else:
+        done = reduce(DataFrame.union, [confirmed(pairs.filter(F.pmod(F.xxhash64("u", F.lit(3)), F.lit(parts)) == i)) for i in range(parts)])
+    discard(pairs)
+    return done
+
+
+def slices(sent: int, stored: int) -> int:
+    """In how many jobs texts go to their pairs, so that each sends about as many bytes as are stored, whatever the number of pairs."""
+    return max(1, -(-sent // max(stored, SENT)))
 
 
 def near_duplicates(
@@ -335,6 +358,7 @@ def near_duplicates(
     pairs = checkpointed(known.select(F.greatest("head", "component_id").alias("u"), F.least("head", "component_id").alias("v")).distinct())
     release(spark)
     near = _confirmed(pairs, heads, words, share)
+    discard(pairs)
     release(spark)
     frequent = _frequent(heads, heads.count(), words)
     # the candidates and, of large buckets, the rows
@@ -346,8 +370,10 @@ def near_duplicates(
     star = stars(edges)
     rest = checkpointed(_across(found.filter(F.col("h").isNotNull()), star, heads, share, block).distinct())
     more = _confirmed(rest.join(first, ["u", "v"], "left_anti"), heads, words, share)
+    discard(found, rest)
     release(spark)
     star = stars(edges.union(more)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    discard(heads)
     least = rows.groupBy("fp").agg(F.min("id").alias("least"))
     nodes = checkpointed(star.union(star.select(F.col("root").alias("fp"), "root").distinct()))
     of_root = checkpointed(nodes.join(least, "fp").groupBy("root").agg(F.min("least").alias("component")))
