@@ -32,10 +32,13 @@ from .simhash import SEED
 WORDS, SHARE = 5, (4, 5)
 #: Members of a bucket that are all compared at once; rows of a block of a larger one.
 SMALL, BLOCK = 16, 2048
-#: A sketch has 2^BITS bits, the wide one that is kept beside each text 2^WIDE.
-BITS, WIDE = 9, 11
+#: A sketch has 2^BITS bits, the wide one that is kept beside each text 2^WIDE. Sets of LARGE shingles or more, whose number of
+#: differing bits the wide one can't tell from the bound, have a deep one of 2^DEEP bits as well.
+BITS, WIDE, DEEP, LARGE = 9, 11, 14, 3072
 #: A text is stored compressed unless that is this many times smaller, so that a batch of stored texts bounds the texts.
 EXPANSION = 8
+#: Links that are sent to every executor, so that texts need not be shuffled to meet theirs; more are joined.
+LINKS = 1_000_000
 #: Bytes of texts that one job may send to their pairs in any case.
 SENT = 64 << 20
 #: Texts of the sample, its count from which a shingle is frequent, and the most of them that are sent out.
@@ -161,7 +164,10 @@ def _frequent(heads: DataFrame, total: int, words: int) -> np.ndarray:
 
 
 def _postings(heads: DataFrame, frequent: np.ndarray, words: int, share) -> DataFrame:
-    """(h, fp, n, i, root): the prefix of each text, with the size of its set and its component so far."""
+    """(h, fp, ni, moved): the prefix of each text, with the size n of its set, the place i and its component so far.
+
+    ``ni`` is n * 2^32 + i and ``moved`` the component's fp xor the own one, mostly zero, so that little of a row is shuffled.
+    """
 
     def run(batches):
         for part in chunks(batches, 1 << 20):
@@ -172,13 +178,19 @@ def _postings(heads: DataFrame, frequent: np.ndarray, words: int, share) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(first)), pa.array(np.repeat(np.asarray(part.column(0)), times)),
-                        pa.array(np.repeat([len(s) for s in sets], times)), pa.array(np.concatenate([np.arange(k) for k in times])),
-                        pa.array(np.repeat(np.asarray(part.column(2)), times)),
+                        pa.array(np.repeat([len(s) << 32 for s in sets], times) + np.concatenate([np.arange(k) for k in times])),
+                        pa.array(np.repeat(np.asarray(part.column(0)) ^ np.asarray(part.column(2)), times)),
                     ],
-                    ["h", "fp", "n", "i", "root"],
+                    ["h", "fp", "ni", "moved"],
                 )
 
-    return heads.select("fp", "stored", "root").mapInArrow(run, "h long, fp long, n long, i long, root long")
+    return heads.select("fp", "stored", "root").mapInArrow(run, "h long, fp long, ni long, moved long")
+
+
+def _opened(part: pa.RecordBatch) -> np.ndarray:
+    """Rows h, fp, n, i, root of a batch of postings."""
+    h, fp, ni, moved = (np.asarray(c, np.int64) for c in part.columns)
+    return np.stack([h, fp, ni >> 32, ni & 0xFFFFFFFF, fp ^ moved], 1)
 
 
 FOUND = ["u", "v", "h", "fp", "n", "i", "root"]
@@ -216,7 +228,7 @@ def _met(postings: DataFrame, share, small: int) -> DataFrame:
 
         least, open_ = None, np.empty((0, 5), np.int64)  # of a large bucket, its least row; the rows of one that may be small
         for part in batches:
-            rows = np.concatenate([open_, np.stack([np.asarray(c, np.int64) for c in part.columns], 1)])
+            rows = np.concatenate([open_, _opened(part)])
             open_ = rows[:0]
             if not len(rows):
                 continue
@@ -253,7 +265,8 @@ def _met(postings: DataFrame, share, small: int) -> DataFrame:
 
 def _labelled(rows: DataFrame, star: DataFrame) -> DataFrame:
     """``rows`` with the least member of the component of each fp as root."""
-    return rows.join(star.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = star.withColumnsRenamed({"u": "fp", "v": "root"})
+    return rows.join(F.broadcast(roots) if star.count() <= LINKS else roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _across(large: DataFrame, star: DataFrame, heads: DataFrame, share, block: int) -> DataFrame:
@@ -285,12 +298,19 @@ def _across(large: DataFrame, star: DataFrame, heads: DataFrame, share, block: i
 
 
 def _confirmed(pairs: DataFrame, heads: DataFrame, words: int, share) -> DataFrame:
-    """The pairs whose texts are similar; wide sketches rule out most others before a text is moved."""
+    """The pairs whose texts are similar; wide sketches, and deep ones of large sets, rule out most others before a text is moved."""
     bits = sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range((1 << WIDE) // 64)), F.lit(0))
     for x in ("u", "v"):
         pairs = pairs.join(heads.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")), x)
-    left = (share[0] + share[1]) * bits <= (share[1] - share[0]) * (F.col("nu") + F.col("nv"))
-    pairs = checkpointed(pairs.filter(left).select("u", "v"))
+    left = lambda bits: (share[0] + share[1]) * bits <= (share[1] - share[0]) * (F.col("nu") + F.col("nv"))
+    large = (F.col("nu") >= LARGE) & (F.col("nv") >= LARGE)
+    wide = checkpointed(pairs.filter(left(bits)).select("u", "v", "nu", "nv"))
+    deep = wide.filter(large)
+    for x in ("u", "v"):
+        deep = deep.join(heads.filter(F.col("n") >= LARGE).select(F.col("fp").alias(x), F.col("deep").alias(f"d{x}")), x)
+    bits = F.aggregate(F.zip_with("du", "dv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+    pairs = checkpointed(wide.filter(~large).select("u", "v").union(deep.filter(F.coalesce(left(bits), F.lit(True))).select("u", "v")))
+    discard(wide)
     stored = heads.select("fp", "stored")
     size = F.octet_length("stored")
     most = stored.agg(F.sum(size)).first()[0] or 0
@@ -339,9 +359,10 @@ def near_duplicates(
             fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             arrays = [
                 part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
-                pa.array([sketch(s, WIDE) for s in sets], pa.list_(pa.int64())), pa.array([packed(t) for t in texts], pa.binary()),
+                pa.array([sketch(s, WIDE) for s in sets], pa.list_(pa.int64())),
+                pa.array([sketch(s, DEEP) if len(s) >= LARGE else None for s in sets], pa.list_(pa.int64())), pa.array([packed(t) for t in texts], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "n", "sketch", "wide", "stored"])
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "n", "sketch", "wide", "deep", "stored"])
 
     def opened(batches):
         for part in chunks(batches, 1 << 20):
@@ -349,9 +370,9 @@ def near_duplicates(
 
     spark = df.sparkSession
     source = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    marked = source.mapInArrow(run, "id long, fp long, n long, sketch array<long>, wide array<long>, stored binary")
+    marked = source.mapInArrow(run, "id long, fp long, n long, sketch array<long>, wide array<long>, deep array<long>, stored binary")
     rows = checkpointed(marked.select("id", "fp"))
-    heads = checkpointed(marked.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "wide", "stored")]))
+    heads = checkpointed(marked.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "wide", "deep", "stored")]))
     release(spark)
     head = heads.select("fp", "stored").mapInArrow(opened, "head long, text string")
     known = simhash.near_duplicates(head, "head", "text", words).filter("head != component_id")
