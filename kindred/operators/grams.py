@@ -2,7 +2,7 @@
 
 Grams are numbers in the base of the alphabet of the fitted texts, counted in numpy. The vectors of the targets are written
 once to the shared folder, in the order of (country, source, id). A task has a block of query texts, reads the targets of
-its country from there, chunk by chunk, and keeps the best ``k`` of each query and source. So no vector is sent once for
+its country from there, chunk by chunk, and keeps the best ``k`` of each query and source; equal texts are one query. So no vector is sent once for
 each block of the other side, and no partial result is shuffled or sorted: what a task yields is final. Terms of many
 texts are columns of a matrix product, all others lists of targets. Scores are rounded to nine digits before they are
 compared. Targets come by id, so of equal scores the earlier one stays.
@@ -27,7 +27,7 @@ PIECE, BLOCK, HELD = 1 << 20, 1 << 22, 1 << 21
 #: Targets and terms of a chunk; numbers of a chunk's matrix and of a product; single products that are added at once.
 TARGETS, TERMS, DENSE, PRODUCT, EVENTS = 8192, 1 << 21, 1 << 22, 1 << 20, 1 << 20
 #: Terms of a greater share of the texts are columns, up to so many.
-SHARE, COLUMNS = 0.03, 4096
+SHARE, COLUMNS = 0.1, 4096
 #: Numbers of a gram must be below it.
 LARGEST = 1 << 62
 
@@ -262,18 +262,18 @@ class _Best:
 def _matched(known_at: str, targets_at: str, alphabet: np.ndarray, n: int, k: int, sublinear: bool):
     """(q, t, score, rank) of the queries of a task."""
 
-    def block(g: int, country: str, ids: list[pa.Array], texts: list[list[str]], digits, base):
+    def block(g: int, country: str, ids: list[pa.Array], owners: list[int], texts: list[str], digits, base):
         known = _Known(known_at, country)
         parts, rows = [], 0
-        for some in texts:
-            row, term, count = known.vectors(some, digits, base, n)
+        for some in _pieces([pa.record_batch([pa.array(texts, pa.string())], ["text"])], 0):
+            row, term, count = known.vectors(some.column(0).to_pylist(), digits, base, n)
             parts.append((row + rows, term, count))
-            rows += len(some)
+            rows += some.num_rows
         q_row, q_term, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(q_row):
             return
         q_weight = known.weights(q_row, q_term, count, rows, sublinear)
-        names = pa.concat_arrays(ids)
+        names, owner_of = pa.concat_arrays(ids), np.array(owners, np.int64)
         often = np.argsort(known.idf, kind="stable")[:COLUMNS]
         often = often[known.idf[often] < 1.0 - np.log(SHARE)]
         column = np.full(len(known.idf), -1)
@@ -285,10 +285,12 @@ def _matched(known_at: str, targets_at: str, alphabet: np.ndarray, n: int, k: in
 
         def finished(best: _Best, targets: list[pa.Array]):
             found = pa.concat_arrays(targets)
-            for low in range(0, rows, max(1, (1 << 16) // k)):
-                score = best.score[low : low + max(1, (1 << 16) // k)]
+            step = max(1, (1 << 16) // k)
+            for low in range(0, len(owner_of), step):
+                mine = owner_of[low : low + step]
+                score = best.score[mine]
                 i, j = np.nonzero(score > 0)
-                at = best.place[low + i, j]
+                at = best.place[mine[i], j]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(low + i)), found.take(pa.array(at)), pa.array(score[i, j]), pa.array((j + 1).astype(np.int32))], ["q", "t", "score", "rank"])
 
         held, best, targets, offset = None, None, [], 0
@@ -335,21 +337,22 @@ def _matched(known_at: str, targets_at: str, alphabet: np.ndarray, n: int, k: in
 
     def run(batches):
         digits, base = _digits(alphabet), len(alphabet) + 1
-        held, ids, texts, chars = None, [], [], 0
+        held, ids, owners, texts, chars = None, [], [], {}, 0
         for part in _pieces(batches, 3):
             keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
             edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for begin, end in zip(edges, edges[1:], strict=False):
                 if held is not None and (keys[begin] != held or chars > 2 * BLOCK):
-                    yield from block(*held, ids, texts, digits, base)
-                    ids, texts, chars = [], [], 0
+                    yield from block(*held, ids, owners, list(texts), digits, base)
+                    ids, owners, texts, chars = [], [], {}, 0
                 held = keys[begin]
-                some = part.column(3).slice(begin, end - begin).to_pylist()
                 ids.append(part.column(2).slice(begin, end - begin))
-                texts.append(some)
-                chars += sum(map(len, some))
+                for text in part.column(3).slice(begin, end - begin).to_pylist():
+                    if text not in texts:
+                        chars += len(text)
+                    owners.append(texts.setdefault(text, len(texts)))
         if held is not None:
-            yield from block(*held, ids, texts, digits, base)
+            yield from block(*held, ids, owners, list(texts), digits, base)
 
     return run
 
@@ -395,7 +398,7 @@ def top_grams(
     rows.mapInArrow(_target_vectors(f"{at}/known", alphabet, n), TARGET).write.option("compression", "zstd").parquet(f"{at}/targets")
     parts = max(2 * cores, -(-_chars(queries, column) // BLOCK))
     rows = plain(queries, g, "country", F.col("entity_id").alias("id")).filter(F.length(column) >= n)
-    rows = rows.withColumn("h", F.xxhash64("id")).repartitionByRange(parts, "g", "h").sortWithinPartitions("g", "country").drop("h")
+    rows = rows.withColumn("h", F.xxhash64(column)).repartitionByRange(parts, "g", "h", "id").sortWithinPartitions("g", "country").drop("h")
     return rows.mapInArrow(_matched(f"{at}/known", f"{at}/targets", alphabet, n, k, sublinear), "q string, t string, score double, rank int")
 
 

@@ -17,7 +17,7 @@ def _sides(spark):
     text = lambda: "".join(rng.choice("ab 😀") for _ in range(rng.randint(0, 20)))
     side = lambda heads, n: [(f"{rng.choice(heads)}-{i}", rng.choice(["x", "y", ""]), text()) for i in range(n)]
     kinds = "entity_id string, country string, n string"
-    return spark.createDataFrame([*side(["S1"], 60), ("S1-z", "y", "abqab c"), ("S1-y", "z", "abc")], kinds), spark.createDataFrame(side(["S2", "S3"], 150), kinds)
+    return spark.createDataFrame([*side(["S1"], 60), ("S1-z", "y", "abqab c"), ("S1-zz", "y", "abqab c"), ("S1-y", "z", "abc")], kinds), spark.createDataFrame(side(["S2", "S3"], 150), kinds)
 
 
 def test_whole_query_blocks_meet_written_targets(spark, monkeypatch):
